@@ -62,7 +62,7 @@ def anchors(grams: np.ndarray, fits: np.ndarray, width: int) -> tuple[np.ndarray
 class Distinct:
     """Keys of one block, each once: high words sorted, low words where there are any, and who holds which."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray | None):
+    def __init__(self, high: np.ndarray, low: np.ndarray | None, flags: np.ndarray | None = None):
         order = np.argsort(high, kind="stable")
         new = np.ones(len(order), bool)
         if len(order):
@@ -73,7 +73,7 @@ class Distinct:
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
         self.high, self.low = high[order][new], None if low is None else low[order][new]
-        self.many = np.bincount(self.group, minlength=len(self.high)) > 1
+        self.many = np.bincount(self.group, minlength=len(self.high)) > 1 if flags is None else np.bincount(self.group, weights=flags, minlength=len(self.high)) > 0
 
     def ranges(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Non-empty ranges of the high word out of n, and where each starts (with the end)."""
@@ -92,7 +92,7 @@ class Distinct:
         })
 
     def repeated(self, answers: Iterable[tuple[int, bytes]], n: int) -> np.ndarray:
-        """For each key as it was given: whether it occurs more than once anywhere."""
+        """For each key as it was given: whether it occurs more than once anywhere, or was flagged anywhere."""
         found, (which, cut) = self.many.copy(), self.ranges(n)
         place = {int(w): (a, b) for w, a, b in zip(which, cut[:-1], cut[1:], strict=True)}
         for r, bits in answers:
@@ -105,8 +105,8 @@ SENT = "range long, block long, high binary, low binary, many binary"
 ANSWER = "block long, level int, range long, bits binary"
 
 
-def answer(level: int):
-    """Per key range: one bit a key for each block that sent some, for blocks with any repeated key."""
+def answer(level: int, flagged_only: bool):
+    """Per key range: one bit a key for each block that sent some, for blocks with any repeated (or flagged) key."""
 
     def find(t: pa.Table) -> pa.Table:
         ranges, blocks = t["range"].to_numpy(), t["block"].to_numpy()
@@ -115,7 +115,7 @@ def answer(level: int):
         many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)) for m, h in zip(t["many"].to_pylist(), highs, strict=True)]
         d = Distinct(np.concatenate(highs), np.frombuffer(b"".join(lows), U) if any(lows) else None)
         flagged = np.bincount(d.group, weights=np.concatenate(many), minlength=len(d.high)) > 0
-        found = (d.many | flagged)[d.group]
+        found = (flagged if flagged_only else d.many | flagged)[d.group]
         cut = np.cumsum([0, *map(len, highs)])
         rows = [(blocks[i], ranges[i], np.packbits(f).tobytes()) for i in range(len(highs)) if (f := found[cut[i] : cut[i + 1]]).any()]
         return pa.table({
@@ -130,10 +130,11 @@ class Finder(Protocol):
     """One block's work. Keys of a level may depend on the marks of those before; all must follow from the texts."""
 
     levels: int
+    flag_levels: tuple[int, ...]  # those that ask whether any holder of a key has flagged it
     symbol_bytes: float  # about how many bytes of text come to one key at most
 
     def start(self, texts: list[bytes]): ...
-    def keys(self, state, level: int) -> tuple[np.ndarray, np.ndarray | None]: ...
+    def keys(self, state, level: int) -> tuple: ...
     def mark(self, state, level: int, repeated: np.ndarray) -> None: ...
     def finish(self, state, texts: list[bytes]) -> dict[str, pa.Array]: ...
 
@@ -189,7 +190,7 @@ def without_repeats(docs: DataFrame, finder: Finder, schema: str, id_col: str, t
             sent = own.groupBy("__block").applyInArrow(asked[0], SENT)
         else:
             sent = own.groupBy("__block").cogroup(said.groupBy("block")).applyInArrow(asked[1], SENT)
-        got = scratch.freeze(sent.groupBy("range").applyInArrow(answer(level), ANSWER), f"answers{level}")
+        got = scratch.freeze(sent.groupBy("range").applyInArrow(answer(level, level in finder.flag_levels), ANSWER), f"answers{level}")
         said = got if said is None else said.unionByName(got)
 
     def last(t: pa.Table, answers: pa.Table) -> pa.Table:

@@ -66,7 +66,7 @@ def doubled(names: np.ndarray, length: int) -> np.ndarray:
 class WordWindows:
     """Levels of one block: sampled windows of a quarter, windows of half and of the full number of words."""
 
-    levels, symbol_bytes = 3, 5.0
+    levels, flag_levels, symbol_bytes = 3, (), 5.0
 
     def __init__(self, words: int):
         self.full = words
