@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .fingerprints import op2_fingerprints
 from .minhash_dedup import op4_minhash_dedup
 from .packing import op3_packing
 from .quality import op8_quality_classifier
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op3_packing, op4_minhash_dedup, op5_suffix_dedup, op8_quality_classifier)}
+QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_fingerprints, op3_packing, op4_minhash_dedup, op5_suffix_dedup, op8_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}
