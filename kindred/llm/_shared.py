@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,15 @@ def partitions(spark: SparkSession) -> int:
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of UTF-8 in a column, over all rows."""
     return docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
+
+
+def portions(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts in order, about limit bytes at a time, so that what a step builds beside them stays small."""
+    first = size = 0
+    for k, x in enumerate(texts):
+        size += len(x)
+        if size >= limit:
+            yield texts[first : k + 1]
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield texts[first:]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._repeats import U, mix, name
-from ._shared import Scratch, partitions
+from ._shared import Scratch, partitions, portions
 from .quality import texts_of
 from .substring_dedup import word_names
 
@@ -66,8 +66,10 @@ def signatures(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 def sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, counts = shingles(texts_of(batch.column("text")), size)
-            a, b, values = signatures(names, counts)
+            made = [(counts, *signatures(names, counts)) for names, counts in (shingles(t, size) for t in portions(texts_of(batch.column("text"))))]
+            if not made:
+                continue
+            counts, a, b, values = map(np.concatenate, zip(*made, strict=True))
             sig = pa.array([v.tobytes() for v in values], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(a), pa.array(b), sig], ["id", "n", "key_a", "key_b", "sig"])
 
