@@ -1,64 +1,15 @@
-"""Folders that every executor sees, tables that cut lineage, and sizes."""
+"""Sizes and portions; folders and tables are the library's."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.plans.scratch import Scratch, partitions
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, set here, only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="kindred-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables in the shared folder that belong to one run of an operator."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/kindred-{uuid.uuid4().hex}"
-        self.tables: list[str] = []
-
-    def freeze(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back: later jobs start from the files, whichever executors are lost."""
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
-        """Write df with all rows of a key in one file, so that grouping by the key needs no shuffle later."""
-        table = f"kindred_{uuid.uuid4().hex}"
-        (
-            df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
-            .option("path", f"{self.root}/{table}").option("compression", "zstd").format("parquet").saveAsTable(table)
-        )
-        self.tables.append(table)
-        return self.spark.table(table)
-
-    def drop(self, *names: str) -> None:
-        """Delete what was written (everything without names); only what no later job reads."""
-        jvm = self.spark._jvm
-        for path in [f"{self.root}/{n}" for n in names] or [self.root]:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-        if not names:
-            for t in self.tables:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+__all__ = ["Scratch", "partitions", "portions", "text_bytes"]
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
