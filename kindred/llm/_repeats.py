@@ -33,8 +33,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The name of a longer string from the names of two strings that cover it, in this order."""
-    return ((a ^ (a >> U(31))) * ODD[0] + b) * ODD[1]
+    """The name of a longer string from the names of two strings that cover it, in this order; its high bits are even."""
+    out = a >> U(31)
+    out ^= a
+    out *= ODD[0]
+    out += b
+    out *= ODD[1]
+    return out
 
 
 def slide(a: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -45,6 +50,11 @@ def slide(a: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(a[: len(a) - (width - span)], a[width - span :]) if span < width else a
 
 
+def added_up(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n positions lie in some half-open interval."""
+    return np.cumsum(np.bincount(begin, minlength=n + 1)[:n] - np.bincount(end, minlength=n + 1)[:n]) > 0
+
+
 def anchors(grams: np.ndarray, fits: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the least gram of some window of width grams that fits at its start, and each window's least gram.
 
@@ -63,7 +73,7 @@ class Distinct:
     """Keys of one block, each once: high words sorted, low words where there are any, and who holds which."""
 
     def __init__(self, high: np.ndarray, low: np.ndarray | None, flags: np.ndarray | None = None):
-        order = np.argsort(high, kind="stable")
+        order = np.argsort(high)
         new = np.ones(len(order), bool)
         if len(order):
             new[1:] = high[order][1:] != high[order][:-1]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import U, anchors, mix, name, without_repeats
+from ._repeats import U, added_up, anchors, mix, name, without_repeats
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -100,15 +100,11 @@ class WordWindows:
             s["halves"] = halves[s["room"][halves] >= self.half]
         elif level == 1:
             h = s["halves"][repeated]
-            near = np.zeros(n + 1, np.int64)
-            np.add.at(near, np.maximum(h - (self.full - self.half), 0), 1)
-            np.add.at(near, h + 1, -1)
-            s["starts"] = np.flatnonzero((np.cumsum(near[:n]) > 0) & (s["room"] >= self.full))
+            near = added_up(n, np.maximum(h - (self.full - self.half), 0), h + 1)
+            s["starts"] = np.flatnonzero(near & (s["room"] >= self.full))
         else:
-            run = np.zeros(n + 1, np.int64)
-            np.add.at(run, s["starts"][repeated], 1)
-            np.add.at(run, s["starts"][repeated] + self.full, -1)
-            s["covered"] = np.cumsum(run[:n]) > 0
+            at = s["starts"][repeated]
+            s["covered"] = added_up(n, at, at + self.full)
 
     def finish(self, s: dict, texts: list[bytes]) -> dict[str, pa.Array]:
         cut = np.r_[0, np.cumsum(s["counts"])]

@@ -7,21 +7,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import U, anchors, mix, name, slide, without_repeats
+from ._repeats import ODD, TOP, U, added_up, name, slide, without_repeats
 
 GRAM = 8  # bytes of the initial buckets
+TILE = 1 << 15  # suffixes at a time, so that steps stay in the processor's cache
 
 
-def pointers(raw: np.ndarray, n: int, depth: int, seed: int) -> np.ndarray:
-    """Bucket names of the first n suffixes by their leading depth bytes (a power of two), from GRAM-byte buckets.
+def pointers(raw: np.ndarray, begin: int, end: int, depth: int, seed: int) -> np.ndarray:
+    """Bucket names of the suffixes from begin to end by their leading depth bytes (a power of two), from q-grams.
 
     Each step refines the buckets by the bucket of the suffix that starts where the known prefix ends.
     """
-    b = mix(np.lib.stride_tricks.sliding_window_view(raw, GRAM)[: n + 3 * depth].copy().view(U).ravel() ^ U(seed))
+    b = np.lib.stride_tricks.sliding_window_view(raw[begin : end + depth], GRAM).copy().view(U).ravel()
+    b *= ODD[seed]
     known = GRAM
     while known < depth:
         b, known = name(b[:-known], b[known:]), known * 2
-    return b
+    return b[: end - begin]
 
 
 class ByteSuffixes:
@@ -36,43 +38,60 @@ class ByteSuffixes:
             self.depth *= 2
 
     def start(self, texts: list[bytes]) -> dict:
-        raw = np.frombuffer(b"".join([*texts, bytes(4 * self.depth + GRAM + self.full)]), np.uint8)
+        raw = np.frombuffer(b"".join([*texts, bytes(4 * self.depth + GRAM + 2 * self.full)]), np.uint8)
         sizes = np.array([len(x) for x in texts], np.int64)
         n = int(sizes.sum())
         room = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
-        b = pointers(raw, n, self.depth, 1)
-        grams = np.where(room >= self.half, mix(name(b[:n], b[self.half - self.depth :][:n])), ~U(0))
-        fits = room >= self.full
-        found, least = anchors(grams, fits, self.full - self.half + 1)
-        return {"raw": raw, "n": n, "sizes": sizes, "room": room, "fits": fits, "grams": grams, "anchors": found, "least": least, "pointers": [b]}
+        s = {"raw": raw, "n": n, "sizes": sizes, "room": room, "fits": room >= self.full, "pointers": []}
+        d, width, step = self.depth, self.full - self.half + 1, self.half - self.depth
+        s["pointers"].append(self.named(s, 0))
+        b, grams, least, found = s["pointers"][0], np.empty(n, U), np.empty(n, U), [np.empty(0, np.int64)]
+        for p in range(0, n, TILE):
+            lo, q = max(0, p - width + 1), min(n, p + TILE)
+            hi = min(n, q + width - 1)
+            g = name(b[lo:hi], b[lo + step : hi + step])
+            g[room[lo:hi] < self.half] = TOP
+            m = slide(np.r_[g, np.full(max(0, q + width - 1 - hi), TOP)], width, np.minimum)
+            seen = np.where(s["fits"][lo:q], m, U(0))
+            most = slide(np.r_[np.zeros(width - 1 - (p - lo), U), seen], width, np.maximum)
+            grams[p:q], least[p:q] = g[p - lo : q - lo], m[p - lo :]
+            found.append(np.flatnonzero((most == grams[p:q]) & (most > 0)) + p)
+        return s | {"grams": grams, "least": least, "anchors": np.concatenate(found)}
+
+    def named(self, s: dict, seed: int) -> np.ndarray:
+        out = np.empty(s["n"] + 2 * self.depth + self.full, U)
+        for p in range(0, len(out), TILE):
+            q = min(len(out), p + TILE)
+            out[p:q] = pointers(s["raw"], p, q, self.depth, seed)
+        return out
 
     def refined(self, s: dict, at: np.ndarray) -> list[np.ndarray]:
         """Two names of the buckets of the suffixes at some positions, by as many bytes as a window has."""
         if len(s["pointers"]) == 1:
-            s["pointers"].append(pointers(s["raw"], s["n"], self.depth, 2))
+            s["pointers"].append(self.named(s, 1))
         d, rest = self.depth, self.full - 2 * self.depth
         return [name(name(b[at], b[at + d]), name(b[at + rest], b[at + rest + d])) for b in s["pointers"]]
 
     def holding(self, s: dict, at: np.ndarray) -> np.ndarray:
         """Where the window that starts here has its least gram at one of some anchors."""
         n, width = s["n"], self.full - self.half + 1
-        if n < width:
-            return np.zeros(n, bool)
-        grams = np.full(n, ~U(0))
+        grams, out = np.full(n + width, TOP), np.empty(n, bool)
         grams[at] = s["grams"][at]
-        least = slide(grams, width, np.minimum)
-        return np.r_[least == s["least"][: len(least)], np.zeros(n - len(least), bool)] & s["fits"]
+        for p in range(0, n, TILE):
+            q = min(n, p + TILE)
+            out[p:q] = slide(grams[p : q + width - 1], width, np.minimum) == s["least"][p:q]
+        return out & s["fits"]
 
     def keys(self, s: dict, level: int) -> tuple:
         if level == 0:
             return s["grams"][s["anchors"]], None
         if level == 1:
             a, b = s["stretches"]
-            return tuple(mix(name(x, y) + (b - a).astype(U)) for x, y in zip(self.refined(s, a), self.refined(s, b), strict=True))
+            return tuple(name(name(x, y), (b - a).astype(U)) for x, y in zip(self.refined(s, a), self.refined(s, b), strict=True))
         if level == 2:
             grams = s["grams"][s["alive"]]
             return grams, None, np.isin(grams, s["least"][s["asked"] & ~s["known"]])
-        return tuple(map(mix, self.refined(s, s["starts"])))
+        return tuple(self.refined(s, s["starts"]))
 
     def mark(self, s: dict, level: int, repeated: np.ndarray) -> None:
         n = s["n"]
@@ -85,29 +104,24 @@ class ByteSuffixes:
             s["stretches"] = a[ok], b[ok]
         elif level == 1:
             a, b = (x[repeated] for x in s["stretches"])
-            run = np.zeros(n + 1, np.int64)
-            np.add.at(run, a, 1)
-            np.add.at(run, b + 1, -1)
-            s["known"] = np.cumsum(run[:n]) > 0
+            s["known"] = added_up(n, a, b + 1)
         elif level == 2:
             # a suffix that a stretch has settled here may be what an open one elsewhere is equal to
             s["starts"] = np.flatnonzero(self.holding(s, s["alive"][repeated]))
         else:
             s["known"][s["starts"][repeated]] = True
-            run = np.zeros(n + 1, np.int64)
-            at = np.flatnonzero(s["known"])
-            run[at] += 1
-            np.add.at(run, at + self.full, -1)
-            s["covered"] = np.cumsum(run[:n]) > 0
+            run = s["known"].astype(np.int8)
+            run[self.full :] -= s["known"][: -self.full]
+            s["covered"] = np.cumsum(run, dtype=np.int32) > 0
 
     def finish(self, s: dict, texts: list[bytes]) -> dict[str, pa.Array]:
         gone, cut = s["covered"], np.r_[0, np.cumsum(s["sizes"])]
         first = gone & np.r_[True, ~gone[:-1]] if len(gone) else gone
         begin = cut[:-1][s["sizes"] > 0]
         first[begin] = gone[begin]
-        removed, spans = (np.diff(np.r_[0, np.cumsum(x)][cut]) for x in (gone, first))
+        removed, spans = (np.diff(np.r_[0, np.cumsum(x, dtype=np.int32)][cut]) for x in (gone, first))
         keep = ~gone
-        kept = [s["raw"][a:b][keep[a:b]].tobytes() if r else x for x, a, b, r in zip(texts, cut[:-1], cut[1:], removed, strict=True)]
+        kept = [x if not r else s["raw"][a:b][keep[a:b]].tobytes() if r < b - a else b"" for x, a, b, r in zip(texts, cut[:-1], cut[1:], removed, strict=True)]
         return {"__n": pa.array(s["sizes"], pa.int64()), "__removed": pa.array(removed, pa.int64()), "__spans": pa.array(spans, pa.int64()), "__kept": pa.array(kept, pa.binary())}
 
 
