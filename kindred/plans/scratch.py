@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FILE_ROWS = 250_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one, set here, only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,9 +31,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/kindred-{uuid.uuid4().hex}"
         self.tables: list[str] = []
 
-    def freeze(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back: later jobs start from the files, whichever executors are lost."""
+    def freeze(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write df and read it back: later jobs start from the files, whichever executors are lost.
+
+        rows, an upper bound if it is known, spares small tables many small files and tasks.
+        """
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(1 + rows // FILE_ROWS)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
