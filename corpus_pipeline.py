@@ -30,11 +30,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of windows of 50 words that occur more than once; texts left without a word go.
+    """Texts without the words of windows of 35 words that occur more than once; texts left without a word go.
 
     Texts that lose nothing stay as they are; others are their kept words joined by one space, and n_chars follows.
     """
-    out = substring_dedup(docs, min_words=50, prefix="__")
+    out = substring_dedup(docs, prefix="__")
     text = F.when(F.col("__n_removed") > 0, F.col("__kept_text")).otherwise(F.col("text"))
     out = out.where("NOT (__n_removed > 0 AND __n_removed = __n_words)").withColumn("text", text)
     n_chars = F.when(F.col("__n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
