@@ -105,7 +105,11 @@ class Pieces:
         return text.removeprefix(" ")
 
 
-pieces = lru_cache(2)(Pieces)
+@lru_cache(2)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 PORTION = 1 << 20
 
 
