@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import portions
 from .substring_dedup import SPACE, word_names
 
 TRAINING_ROWS = 20_000  # bound on the labelled rows that a model is fitted on
@@ -33,6 +34,10 @@ CLASS[0x80:] = 1
 
 def features(texts: list[bytes]) -> np.ndarray:
     """One row of FEATURES per text; all zero for an empty one."""
+    return np.concatenate([np.zeros((0, len(FEATURES))), *map(measure, portions(texts))])
+
+
+def measure(texts: list[bytes]) -> np.ndarray:
     n = len(texts)
     sizes = np.array([len(x) for x in texts], np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
