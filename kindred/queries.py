@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions import codes, hashes, keyers, metrics, phonetics, sequences, stemmers, text, tokens, vectors
+from kindred.functions import codes, hashes, keyers, metrics, phonetics, segmenters, sequences, stemmers, text, tokens, vectors
+from kindred.functions.double_metaphone import double_metaphone_column
 from kindred.operators import frequencies, linkage, rake
 from kindred.sources import parsers
 
@@ -368,6 +369,36 @@ def stems(spark, sf_dir):
     return english_words(spark, sf_dir).select("word", *(getattr(stemmers, f"{k}_column")("word").alias(k) for k in kinds))
 
 
+@query()
+def double_metaphones(spark, sf_dir):
+    """P4."""
+    return english_words(spark, sf_dir).select("word", F.array_join(double_metaphone_column("word"), "/").alias("codes"))
+
+
+@query()
+def sentence_and_tweet_words(spark, sf_dir):
+    """Sentences, words by language and tweet words of documents and turns."""
+    docs, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    by_lang = F.when(F.col("lang") == "en", segmenters.words_by_language("en", "text")).when(F.col("lang") == "fr", segmenters.words_by_language("fr", "text")).otherwise(segmenters.words_by_language("de", "text"))
+    a = docs.select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), F.size(segmenters.sentences_column("text")).cast("long").alias("sentences"), F.size(by_lang).cast("long").alias("words"))
+    b = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("turn").alias("kind"), F.size(segmenters.sentences_column("text")).cast("long").alias("sentences"), F.size(segmenters.tweet_words_column("text")).cast("long").alias("words"))
+    return a.union(b)
+
+
+@query(f"{WORDS} SELECT regexp_extract(word, '^[^aeiouy]+') AS onset, count(*) AS count FROM w WHERE regexp_matches(word, '^[^aeiouy]') GROUP BY 1")
+def onset_frequencies(spark, sf_dir):
+    """What words begin with."""
+    return segmenters.onsets(english_words(spark, sf_dir), "word")
+
+
+@query()
+def syllables(spark, sf_dir):
+    """Words cut by sonority and by the onsets of the corpus, which are a few hundred."""
+    words = english_words(spark, sf_dir)
+    legal = [r.onset for r in segmenters.legal_onsets(segmenters.onsets(words, "word")).collect()]
+    return words.select("word", F.array_join(segmenters.sonority_syllables_column("word"), "-").alias("sonority"), F.array_join(segmenters.onset_syllables_column("word", legal), "-").alias("onsets"))
+
+
 # --- linkage ---------------------------------------------------------------------------------------------------------
 
 
