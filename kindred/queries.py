@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions import codes, hashes, keyers, metrics, phonetics, segmenters, sequences, stemmers, text, tokens, vectors
+from kindred.functions import codes, french, hashes, keyers, metrics, phonetics, segmenters, sequences, stemmers, text, tokens, vectors
 from kindred.functions.double_metaphone import double_metaphone_column
 from kindred.operators import frequencies, linkage, rake
 from kindred.sources import parsers
@@ -364,7 +364,7 @@ def s_stems(spark, sf_dir):
 
 @query()
 def stems(spark, sf_dir):
-    """ST1, ST2, ST8, ST11-ST13, I1."""
+    """ST1, ST2, ST8-ST13, I1."""
     kinds = ["porter", "lancaster", "eda", "caumanns", "schinke", "spanish_unine", "spanish_singular"]
     return english_words(spark, sf_dir).select("word", *(getattr(stemmers, f"{k}_column")("word").alias(k) for k in kinds))
 
