@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ._shared import Scratch, partitions
 
-SAMPLES, GROUP = 32, 8  # samples in a signature; samples drawn in one generated method (more would not be compiled)
+SAMPLES, GROUP = 32, 4  # samples in a signature; samples drawn in one generated method, which the JVM must find small enough
 WORDS = r"[\x20\x09-\x0D]+"
 
 
@@ -71,7 +71,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, twin, text) dealt by id: equal ids are told apart by a number, in the order of a hash of their texts."""
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     twin = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"))).cast("long")
-    return source.repartition(partitions(docs.sparkSession), "id").withColumn("twin", twin)
+    return source.repartition(3 * partitions(docs.sparkSession), "id").withColumn("twin", twin)
 
 
 def matched(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
