@@ -30,3 +30,20 @@ def test_s_stemmer(spark):
     words = {"": "", "one": "one", "is": "is", "queries": "query", "phrases": "phrase", "corpus": "corpus", "stress": "stress", "kings": "king", "serious": "serious"}
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert {r.w: r.s for r in df.select("w", stemmers.s_stemmer("w").alias("s")).collect()} == words
+
+
+def test_uea_lite():
+    from kindred.functions.english import uea_lite
+
+    assert uea_lite("ordained") == {"rule": "13.6", "stem": "ordain"} and uea_lite("during") == {"rule": "90", "stem": "during"}
+    for word, stem in {"is": "is", "man": "man", "happiness": "happiness", "theses": "thesis", "bases": "base", "killed": "kill", "don't": "do not", "Peter's": "Peter", "USs": "US", "flies": "fly"}.items():
+        assert uea_lite(word)["stem"] == stem, word
+
+
+def test_lovins():
+    from kindred.functions.english import lovins
+
+    endings = {"ationally": "B", "ional": "A", "ally": "B", "ing": "N", "ices": "A", "es": "E", "e": "A", "ion": "Q", "ive": "A", "ate": "A", "ic": "A", "ed": "E", "ar": "X", "y": "B", "ides": "L", "ide": "L"}
+    known = {"sitting": "sit", "matrix": "matric", "rubbing": "rub", "rubb": "rub", "believe": "belief", "consumption": "consum", "induction": "induc", "absorption": "absorb", "parametric": "parameter", "dissolved": "dissolut", "index": "indic", "persuade": "persuas", "expand": "expans", "respond": "respons"}
+    for word, stem in known.items():
+        assert lovins(word, endings) == stem, word
