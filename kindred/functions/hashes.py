@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.plans.numbering import numbered
+
 from .text import chars, col
 
 PRIME = 4294967311.0  # fixed value: the prime after 2 ** 32, modulus of the signatures
@@ -47,12 +49,8 @@ def bands(signature, rows: int, size: int) -> Column:
 
 
 def binning(df: DataFrame, id_col: str, signature: str, rows: int, size: int) -> DataFrame:
-    """(id, band, bin): rows that share a bin agree on a band. Bins are numbered from 0 by their first row.
-
-    Numbers come from counts per range of bins, so no task sees all of them.
-    """
+    """(id, band, bin): rows that share a bin agree on a band. Bins are numbered from 0 by their first row."""
     each = df.select(F.col(id_col).alias("id"), F.explode(bands(signature, rows, size)).alias("b")).select("id", "b.band", "b.key")
     first = each.groupBy("band", "key").agg(F.min("id").alias("first"))
-    spread = first.withColumn("part", F.pmod(F.xxhash64("first", "band"), F.lit(1)))  # ordered below
-    order = Window.orderBy("first", "band", "key")
-    return each.join(spread.select("band", "key", (F.row_number().over(order) - 1).alias("bin")), ["band", "key"]).select("id", "band", "bin")
+    bins = numbered(first, [F.asc("first"), F.asc("band"), F.asc("key")], "bin")
+    return each.join(bins.select("band", "key", "bin"), ["band", "key"]).select("id", "band", "bin")

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions import codes, french, hashes, keyers, metrics, phonetics, segmenters, sequences, stemmers, text, tokens, vectors
+from kindred.functions import codes, english, french, hashes, keyers, metrics, phonetics, segmenters, sequences, stemmers, text, tokens, vectors
 from kindred.functions.double_metaphone import double_metaphone_column
-from kindred.operators import frequencies, linkage, rake
+from kindred.operators import frequencies, linkage, punkt, rake
 from kindred.sources import parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,6 +348,12 @@ def phonetic_kernels(spark, sf_dir):
     return english_words(spark, sf_dir).select("word", *(getattr(codes, f"{k}_column")("word").alias(k) for k in kinds))
 
 
+@query()
+def uea_stems(spark, sf_dir):
+    """ST5."""
+    return english_words(spark, sf_dir).select("word", english.uea_lite_column("word").alias("s")).select("word", "s.stem", "s.rule")
+
+
 @query()
 def eudex_pairs(spark, sf_dir):
     """Distances of the names' hashes."""
@@ -503,6 +509,14 @@ def rake_keywords(spark, sf_dir):
     return rake.rake(*rake_input(spark, sf_dir))
 
 
+@query()
+def punkt_sentences(spark, sf_dir):
+    """Sentences of documents under a model trained on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = punkt.train(docs, "text", "doc_id")
+    return docs.select("doc_id", F.size(punkt.sentences_column(model, "text")).cast("long").alias("sentences"))
+
+
 @query()
 def html_texts(spark, sf_dir):
     """S3."""
