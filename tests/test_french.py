@@ -32,3 +32,15 @@ def test_hyphenation(spark):
     df = spark.createDataFrame([("Hyphenation",), ("word",), ("present",)], "w string")
     got = [r.h for r in df.select(french.hyphenate_column("w", patterns, exceptions).alias("h")).collect()]
     assert got == [["Hy", "phen", "ation"], ["word"], ["present"]]
+
+
+def test_tabled_algorithms(spark):
+    from kindred.functions.tabled import PhoneticRules, carry, carry_column, french_phonetic, french_phonetic_column, measure
+
+    steps = [[(0, "issaient", ""), (0, "ions", ""), (0, "aux", "al")], [(0, "al", "")], [(1, "e", "")]]
+    assert [measure(w) for w in ("chev", "cal", "e", "maison")] == [2, 2, 0, 2]
+    assert [carry(w, steps) for w in ("Finissaient", "chevaux", "chose", "le")] == ["fin", "chev", "chos", "le"]
+    tables = PhoneticRules(before=(("O[O]+", "OU"),), exceptions={"HE": "E"}, rules=(("PH", "F"), ("EAU", "O")), endings=(("S$", ""),), last_endings=(("T$", ""),))
+    assert [french_phonetic(w, tables) for w in ("Photos", "eau", "hé", "zoo", "SNCF", "chats", "ma")] == ["FOTO", "O", "E", "ZOU", "SNCF", "CHA", "MA"]
+    row = spark.createDataFrame([("chevaux",)], "w string").select(carry_column("w", steps).alias("c"), french_phonetic_column("w", tables).alias("p")).first()
+    assert (row.c, row.p) == ("chev", "CHEVAUX")
