@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -24,12 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that belong to one run of an operator."""
+    """Parquet tables in the shared folder that belong to one run of an operator.
+
+    They stay while results that read them may be used; the driver removes them when it ends, and drop() before.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kindred-{uuid.uuid4().hex}"
         self.tables: list[str] = []
+        atexit.register(self.leave)
+
+    def leave(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self.drop()
 
     def freeze(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """Write df and read it back: later jobs start from the files, whichever executors are lost.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import codes, english, french, hashes, keyers, metrics, phonetics, segmenters, sequences, stemmers, text, tokens, vectors
 from kindred.functions.double_metaphone import double_metaphone_column
+from kindred.functions.sonnex import sonnex_column
 from kindred.operators import frequencies, linkage, punkt, rake
 from kindred.sources import parsers
 
@@ -302,6 +303,13 @@ def lsh_pairs(spark, sf_dir):
     return pairs.groupBy("a", "b").agg(F.count("*").alias("bands"))
 
 
+@query(f"WITH s AS (SELECT name, {MINHASH} AS s FROM (SELECT DISTINCT p_name AS name FROM part)), k AS (SELECT name, CAST(b AS INTEGER) AS band, array_to_string([s[b * 4 + 1], s[b * 4 + 2], s[b * 4 + 3], s[b * 4 + 4]], ',') AS key FROM (SELECT name, s, unnest(range(4)) AS b FROM s)) SELECT band, count(*) AS bins, CAST(sum(n) AS BIGINT) AS names FROM (SELECT band, key, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1, 2) GROUP BY band")
+def lsh_bins(spark, sf_dir):
+    """H3: bins per band, and the names in them."""
+    b = hashes.binning(signed(spark, sf_dir), "name", "signature", 4, 16)
+    return b.groupBy("band").agg(F.countDistinct("bin").alias("bins"), F.count("*").alias("names"))
+
+
 # --- phonetics and stems -------------------------------------------------------------------------------------------------
 
 
@@ -343,9 +351,9 @@ def phonetic_rules(spark, sf_dir):
 
 @query()
 def phonetic_kernels(spark, sf_dir):
-    """Codes that walk a word."""
+    """Codes that walk a word."""
     kinds = ["alpha_sis", "daitch_mokotoff", "eudex", "fuzzy_soundex", "phonex", "roger_root", "sound_d", "cologne"]
-    return english_words(spark, sf_dir).select("word", *(getattr(codes, f"{k}_column")("word").alias(k) for k in kinds))
+    return english_words(spark, sf_dir).select("word", *(getattr(codes, f"{k}_column")("word").alias(k) for k in kinds), sonnex_column("word").alias("sonnex"))
 
 
 @query()

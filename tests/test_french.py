@@ -44,3 +44,20 @@ def test_tabled_algorithms(spark):
     assert [french_phonetic(w, tables) for w in ("Photos", "eau", "hé", "zoo", "SNCF", "chats", "ma")] == ["FOTO", "O", "E", "ZOU", "SNCF", "CHA", "MA"]
     row = spark.createDataFrame([("chevaux",)], "w string").select(carry_column("w", steps).alias("c"), french_phonetic_column("w", tables).alias("p")).first()
     assert (row.c, row.p) == ("chev", "CHEVAUX")
+
+
+def test_sonnex():
+    from kindred.functions.sonnex import sonnex
+
+    codes = (
+        "eschatologie:Eskatoloji chiropracteur:kiroprakter chiroubles:CirUbl empire:2pir temps:t2 contretemps:k3tret2 temporisation:t2porizasi3 amphétamine:2fEtamin emphase:2faz méphitique:mEfitik florentin:flor2t1 ballon:bal3 "
+        "guillaume:giom sept:sEt septième:sEtiEm huit:uit potion:posi3 constitution:k3stitusi3 chrétien:krEti1 châtier:CatiE tienne:tiEn manger:m2jE siffler:siflE passionnant:pasion2 passionnante:pasion2t petit:peti écusson:Ekus3 "
+        "robuste:robust usinage:uzinaj intrus:1tru schizophrénie:sCizofrEni psychiatre:psiCiatr"
+    )
+    for pair in codes.split():
+        word, code = pair.split(":")
+        assert sonnex(word) == code, word
+    alike = "amande amende;ancre encre;autel hôtel;balade ballade;basilic basilique;boulot bouleau;cane canne;censé sensé;cygne signe;date datte;dessin dessein;filtre philtre;flan flanc;golf golfe;lire lyre;mite mythe;pain pin;palais palet;a à;ce se;cric crique;on ont;champ chant;ou où;col colle;quelque quelques;plus plu"
+    for pair in alike.split(";"):
+        a, b = pair.split()
+        assert sonnex(a) == sonnex(b), pair
