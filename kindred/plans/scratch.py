@@ -47,7 +47,7 @@ class Scratch:
         """
         path = f"{self.root}/{name}"
         if rows is not None:
-            df = df.coalesce(1 + rows // FILE_ROWS)
+            df = gathered(df, rows)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -72,5 +72,10 @@ class Scratch:
                 self.spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as rows, an upper bound, need: a table of few rows is grouped and joined without a shuffle."""
+    return df.coalesce(1 + rows // FILE_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
