@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.scratch import Scratch, partitions
+from kindred.plans.scratch import Scratch, gathered, partitions
 
-__all__ = ["Scratch", "partitions", "portions", "text_bytes"]
+__all__ = ["Scratch", "gathered", "partitions", "portions", "text_bytes"]
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

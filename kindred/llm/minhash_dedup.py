@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._repeats import U, mix, name
-from ._shared import Scratch, partitions, portions
+from ._shared import Scratch, gathered, partitions, portions
 from .quality import texts_of
 from .substring_dedup import word_names
 
 TREES, DEPTH = 40, 6  # a pair at a similarity of 0.8 shares no prefix of DEPTH values in any tree once in 200,000 times
-DENSE = 64  # members beyond which a region is looked at two values deeper, and then four more
+TILE = 256  # members of a region that are compared with as many at a time
+DENSE = 512  # members beyond which a region is looked at two values deeper, and then four more
+MERGES = 2  # rounds of merging by best pairs before all pairs between groups are compared
 FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=U)) | U(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -93,30 +95,68 @@ def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 LABELS = "p6 long, p8 long, p12 long, id long, n long"
-NEXT = "edge boolean, part int, p6 long, a long, na long, b long, nb long"
+NEXT = "edge boolean, part int, p6 long, a long, na long, b long, nb long, group long"
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in label order: next to each other with a common prefix; and the first and last row of the partition."""
+    """From rows in label order: those of two groups next to each other with a common prefix; and the partition's ends."""
     part, before, first = TaskContext.get().partitionId(), None, None
 
-    def rows(edge: bool, p6, a, na, b, nb) -> pa.RecordBatch:
-        k = len(p6)
-        return pa.RecordBatch.from_arrays([pa.array([edge] * k, pa.bool_()), pa.array([part] * k, pa.int32()), *(pa.array(x, pa.int64()) for x in (p6, a, na, b, nb))], ["edge", "part", "p6", "a", "na", "b", "nb"])
+    def rows(edge: bool, *columns) -> pa.RecordBatch:
+        k = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array([edge] * k, pa.bool_()), pa.array([part] * k, pa.int32()), *(pa.array(x, pa.int64()) for x in columns)], ["edge", "part", "p6", "a", "na", "b", "nb", "group"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        p, i, n = (batch.column(c).to_numpy() for c in ("p6", "id", "n"))
-        first = first or (int(p[0]), int(i[0]), int(n[0]))
+        p, i, n, g = (batch.column(c).to_numpy() for c in ("p6", "id", "n", "comp"))
+        first = first or tuple(int(x[0]) for x in (p, i, n, g))
         if before:
-            p, i, n = (np.r_[np.int64(x), y] for x, y in zip(before, (p, i, n), strict=True))
-        before = (int(p[-1]), int(i[-1]), int(n[-1]))
-        hit = np.flatnonzero((p[1:] == p[:-1]) & (i[1:] != i[:-1]))
-        yield rows(False, p[1:][hit], i[:-1][hit], n[:-1][hit], i[1:][hit], n[1:][hit])
+            p, i, n, g = (np.r_[np.int64(x), y] for x, y in zip(before, (p, i, n, g), strict=True))
+        before = tuple(int(x[-1]) for x in (p, i, n, g))
+        hit = np.flatnonzero((p[1:] == p[:-1]) & (g[1:] != g[:-1]))
+        yield rows(False, p[1:][hit], i[:-1][hit], n[:-1][hit], i[1:][hit], n[1:][hit], g[1:][hit])
     if first:
-        # an edge row: the prefix and row it begins with as p6, a, na; its last row as b, nb, the last prefix in a row of its own
-        yield rows(True, [first[0], before[0]], [first[1], before[1]], [first[2], before[2]], [0, 1], [0, 0])
+        # two rows for the ends: prefix, id, size and group of the first (b = 0) and of the last row (b = 1)
+        yield rows(True, *([x, y] for x, y in zip(first[:3], before[:3], strict=True)), [0, 1], [0, 0], [first[3], before[3]])
+
+
+def adjacent(scratch: Scratch, labels: DataFrame, name: str) -> DataFrame:
+    """(a, na, b, nb) of rows of two groups that are next to each other in the order of labels and share a prefix."""
+    ordered = labels.repartitionByRange(partitions(labels.sparkSession), "p6", "p8", "p12", "id").sortWithinPartitions("p6", "p8", "p12", "id")
+    near = scratch.freeze(ordered.select("p6", "id", "n", "comp").mapInArrow(neighbours, NEXT), name)
+    line = Window.orderBy("part", "b")  # two rows a partition
+    last = lambda c: F.lag(c).over(line)
+    seam = near.where("edge").select("p6", "a", "na", "group", "b", last("p6").alias("q6"), last("a").alias("z"), last("na").alias("nz"), last("group").alias("h"))
+    seam = seam.where("b = 0 AND p6 = q6 AND group <> h").select("a", "na", F.col("z").alias("b"), F.col("nz").alias("nb"))
+    return near.where("NOT edge").select("a", "na", "b", "nb").union(seam)
+
+
+def promising(percent: int):
+    """Of a region's rows, the pairs of two groups that are likely enough to be similar by their whole signatures.
+
+    At a similarity of percent the share of equal values is more than a tenth below it once in 20,000 times.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, n, comp = (t[c].to_numpy() for c in ("id", "n", "comp"))
+        values = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        least = (percent / 100 - 0.1) * values.shape[1]
+        found: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], ids[:0])]
+        for i in range(0, len(ids), TILE):
+            for j in range(i, len(ids), TILE):
+                x, y = slice(i, i + TILE), slice(j, j + TILE)
+                ok = (comp[x, None] != comp[None, y]) & (ids[x, None] != ids[None, y])
+                ok &= 100 * np.minimum(n[x, None], n[None, y]) >= percent * np.maximum(n[x, None], n[None, y])
+                if i == j:
+                    ok = np.triu(ok, 1)
+                u, v = np.nonzero(ok)
+                like = (values[x][u] == values[y][v]).sum(1) >= least
+                found.append((ids[x][u[like]], ids[y][v[like]]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
 
 
 def similar(percent: int, size: int):
@@ -140,34 +180,58 @@ def similar(percent: int, size: int):
     return run
 
 
-def components(scratch: Scratch, links: DataFrame, tag: str) -> DataFrame:
-    """(id, comp) for every linked id: the least id that links lead to. Rounds of hooking each to its least neighbour
-    and following hooks to their end, each round a written table; nothing is collected."""
-    edges, root = links.select("a", "b"), None
-    k = 0
+def components(scratch: Scratch, links: DataFrame, tag: str, known: DataFrame | None = None) -> DataFrame:
+    """(id, comp) for every linked id: the least id that links lead to. known: what earlier links gave, which these add to.
+
+    Rounds of hooking each to its least neighbour and following hooks to their end, each round a written table; nothing
+    is collected. As many partitions are used as the number of links asks for.
+    """
+    links = scratch.freeze(links.select("a", "b"), f"{tag}_links")
+    rows = 2 * links.count() + (known.count() if known is not None else 0)
+    few = lambda df: gathered(df, rows)
+    edges, root, k = few(links), known, 0
+
+    def renamed(pairs: DataFrame, step: DataFrame) -> DataFrame:
+        """Pairs of the groups that pairs of ids are in now."""
+        a, b = (few(step).select(F.col("id").alias(c), F.col("comp").alias(f"{c}_to")) for c in "ab")
+        pairs = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
+        return pairs.where("a <> b").distinct()
+
+    def jumped(hook: DataFrame) -> DataFrame:
+        end = hook.select(F.col("id").alias("to"), F.col("to").alias("end"))
+        return hook.join(end, "to", "left").select("id", F.coalesce("end", "to").alias("to"))
+
+    if known is not None:
+        edges = few(scratch.freeze(renamed(edges, known), f"{tag}_start", rows))
     while True:
-        both = edges.union(edges.select("b", "a")).where("a <> b").distinct()
-        hook = scratch.freeze(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("to")), f"{tag}_hook{k}")
+        both = few(edges.union(edges.select("b", "a")).where("a <> b"))
+        hook = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("to"))
+        hook = few(scratch.freeze(hook, f"{tag}_hook{k}", rows))
         if hook.isEmpty():
             return root if root is not None else links.select(F.col("a").alias("id"), F.col("b").alias("comp")).limit(0)
         j = 0
-        while True:  # hooks lead to smaller ids, so following them twice as far each time ends
-            end = hook.select(F.col("id").alias("to"), F.col("to").alias("end"))
-            hook = scratch.freeze(hook.join(end, "to", "left").select("id", F.coalesce("end", "to").alias("new"), F.col("to").alias("old")), f"{tag}_hook{k}_{j}")
-            moved = not hook.where("new <> old").isEmpty()
-            hook, j = hook.select("id", F.col("new").alias("to")), j + 1
-            if not moved:
+        while True:  # hooks lead to smaller ids, so following them eight times as far each time ends
+            further = jumped(jumped(jumped(hook)))
+            old = hook.select("id", F.col("to").alias("old"))
+            hook = few(scratch.freeze(further.join(old, "id"), f"{tag}_hook{k}_{j}", rows))
+            moved, hook, j = hook.where("to <> old"), hook.select("id", "to"), j + 1
+            if moved.isEmpty():
                 break
-        step = hook.select(F.col("id").alias("comp"), "to")
-        found = hook.select("id", F.col("to").alias("comp"))
-        if root is not None:
-            found = root.join(step, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-        root = scratch.freeze(found, f"{tag}_root{k}")
-        a, b = (step.select(F.col("comp").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
-        edges = scratch.freeze(edges.join(a, "a").join(b, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct(), f"{tag}_edges{k}")
+        step = hook.select("id", F.col("to").alias("comp"))
+        if root is None:
+            root = step
+        else:
+            # groups that have moved, and ids that were in none before
+            moved = few(root).join(step.select(F.col("id").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("id", F.coalesce("now", "comp").alias("comp"))
+            root = few(scratch.freeze(moved.union(step.join(few(root).select("id"), "id", "left_anti")), f"{tag}_root{k}", rows))
+        edges = few(scratch.freeze(renamed(edges, step), f"{tag}_edges{k}", rows))
         k += 1
 
 
+def grouped(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
 def near_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs with an id; see minhash_dedup."""
     spark = docs.sparkSession
@@ -178,17 +242,10 @@ def near_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5, id_
     classes = scratch.freeze(sets.where("n > 0").groupBy("key_a", "key_b").agg(F.min("id").alias("rep")), "classes")
     reps = sets.join(classes.select(F.col("rep").alias("id"), "key_a", "key_b"), ["id", "key_a", "key_b"], "left_semi").dropDuplicates(["id", "key_a", "key_b"])
     labels = reps.select("id", "n", "sig").mapInArrow(labelled, LABELS)
-    ordered = labels.repartitionByRange(parts, "p6", "p8", "p12", "id").sortWithinPartitions("p6", "p8", "p12", "id")
-    near = scratch.freeze(ordered.mapInArrow(neighbours, NEXT), "neighbours")
-    # where a partition ends and the next begins: two rows a partition
-    line = Window.orderBy("part", "b")
-    seam = near.where("edge").select("p6", "a", "na", F.lag("p6").over(line).alias("q6"), F.lag("a").over(line).alias("z"), F.lag("na").over(line).alias("nz"), "b")
-    seam = seam.where("b = 0 AND p6 = q6 AND a <> z").select("a", "na", F.col("z").alias("b"), F.col("nz").alias("nb"))
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = near.where("NOT edge").select("a", "na", "b", "nb").union(seam).where(fits)
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("trees"))
-    pairs = scratch.freeze(pairs, "pairs")
-    involved = scratch.freeze(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "involved")
+    beside = adjacent(scratch, labels.withColumn("comp", F.col("id")), "beside").where(fits)
+    involved = scratch.freeze(beside.select(F.col("a").alias("id")).union(beside.select("b")).distinct(), "involved")
+    rows = scratch.freeze(reps.join(involved, "id", "left_semi").select("id", "n", "sig").mapInArrow(labelled, LABELS), "labels")
     # the texts of those that share a prefix with any other
     texts = scratch.bucketed(source.join(reps.select("id"), "id", "left_semi").join(involved, "id", "left_semi").dropDuplicates(), "id", parts)
 
@@ -199,34 +256,48 @@ def near_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5, id_
 
     def across(cands: DataFrame, comps: DataFrame) -> DataFrame:
         a, b = (comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-        return cands.join(a, "a", "left").join(b, "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
-
-    # first each document's closest neighbour, then the other neighbours that are still apart
-    sides = pairs.select("a", "b", "trees").union(pairs.select("b", "a", "trees"))
-    best = sides.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("trees"), "b"))).where("k = 1")
+        cands = cands.join(a, "a", "left").join(b, "b", "left").withColumns({f"comp_{c}": F.coalesce(f"comp_{c}", c) for c in "ab"})
+        return cands.where("comp_a <> comp_b")
+
+    # the hub of a region shares the most prefixes with others: what near copies were made from, or close to it
+    shared = rows.join(rows.groupBy("p6").agg(F.count("*").alias("size")).where("size > 1"), "p6")
+    score = shared.groupBy("id").agg(F.sum("size").alias("score"))
+    hubs = rows.join(score, "id").groupBy("p6").agg(F.max_by(F.struct("id", "n"), F.struct("score", -F.col("id"))).alias("hub"))
+    to_hub = rows.join(hubs, "p6").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hub.id").alias("b"), F.col("hub.n").alias("nb")).where("a <> b").where(fits)
+    best = to_hub.groupBy("a", "b").agg(F.count("*").alias("trees")).groupBy("a").agg(F.max_by("b", F.struct("trees", -F.col("b"))).alias("b"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = confirmed(best, "links1")
-    comps = components(scratch, links, "comps1")
-    links = links.union(confirmed(across(pairs.select("a", "b"), comps), "links2"))
-    comps = components(scratch, links, "comps2")
+    tested = scratch.freeze(best, "to_hubs")
+    links = confirmed(tested, "links_hubs")
+    comps = components(scratch, links, "hubs")
+
+    # neighbours of different groups are compared best first: a pair for each group, at last all that are still apart
+    apart = adjacent(scratch, grouped(rows, comps), "neighbours").where(fits).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("trees"))
+    apart = scratch.freeze(apart.join(tested, ["a", "b"], "left_anti"), "apart")
+    for k in range(MERGES + 1):
+        most = apart.count()
+        if not most:
+            break
+        picked = apart = scratch.freeze(across(apart.select("a", "b", "trees"), comps), f"apart{k}", most)
+        if k < MERGES:
+            sides = apart.select(F.col("comp_a").alias("comp"), "a", "b", "trees").union(apart.select("comp_b", "a", "b", "trees"))
+            picked = gathered(sides, 2 * most).groupBy("comp").agg(F.max_by(F.struct("a", "b"), F.struct("trees", -F.col("a"), -F.col("b"))).alias("pair")).select("pair.*").distinct()
+        picked = scratch.freeze(picked.select("a", "b"), f"picked{k}", most)
+        tested = tested.union(picked)
+        comps = components(scratch, confirmed(picked, f"links{k}"), f"merge{k}", comps)
+        apart = apart.join(picked, ["a", "b"], "left_anti")
 
     # last, regions that still hold more than one component: all pairs across components, deeper where it is dense
-    rows = reps.join(involved, "id", "left_semi").select("id", "n", "sig").mapInArrow(labelled, LABELS)
-    rows = scratch.freeze(rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labels")
+    rows = scratch.freeze(grouped(rows, comps), "grouped")
     cands = []
-    for prefix, last in (("p6", False), ("p8", False), ("p12", True)):
+    for prefix in ("p6", "p8", "p12"):
         size = rows.groupBy(prefix).agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         open_rows = rows.join(size.select(prefix, "size"), prefix)
-        here = open_rows if last else open_rows.where(F.col("size") <= DENSE)
-        x, y = (here.select(prefix, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp"))) for s in "ab")
-        found = x.join(y, prefix).where("id_a < id_b AND comp_a <> comp_b").withColumnsRenamed({"n_a": "na", "n_b": "nb"}).where(fits)
-        found = found.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("trees"))
-        # at 0.8 a pair shares a prefix of DEPTH values in ten trees; in fewer than two once in 12,000 times
-        cands.append(found.where("trees > 1" if prefix == "p6" else "trees > 0").select("a", "b"))
-        rows = scratch.freeze(open_rows.where(F.col("size") > DENSE).drop("size"), f"dense_{prefix}") if not last else rows
-    rest = reduce(DataFrame.union, cands).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(confirmed(rest, "links3"))
-    comps = components(scratch, links, "comps3")
+        here = open_rows if prefix == "p12" else open_rows.where(F.col("size") <= DENSE)
+        here = here.select(prefix, "id", "n", "comp").join(reps.select("id", "sig"), "id")
+        cands.append(here.groupBy(prefix).applyInArrow(promising(percent), "a long, b long"))
+        rows = scratch.freeze(open_rows.where(F.col("size") > DENSE).drop("size"), f"dense_{prefix}") if prefix != "p12" else rows
+    rest = reduce(DataFrame.union, cands).distinct().join(tested, ["a", "b"], "left_anti")
+    comps = components(scratch, confirmed(rest, "links_rest"), "rest", comps)
 
     named = sets.select("id", "n", "key_a", "key_b").join(classes, ["key_a", "key_b"], "left")
     named = named.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
@@ -239,8 +310,8 @@ def minhash_dedup(docs: DataFrame, percent: int = 80, shingle_words: int = 5, id
     A document's set holds the distinct shingles of its words, A-Z lowered (fewer words than a shingle: the whole
     sequence); documents are linked when the intersection is percent of the union at least, and groups are what links
     connect. An LSH forest finds the pairs: each of TREES sorted orders ranks documents by a label of min-hash values,
-    and those next to each other with a common prefix are compared; then all pairs across groups inside a region (equal
-    prefix), where dense regions are cut by a longer prefix. Every link is confirmed on the full sets. Equal sets are
+    and those next to each other with a common prefix are compared, and each with the hub of its region (equal prefix);
+    then all pairs across groups inside a region, where dense regions are cut by a longer prefix. Every link is confirmed on the full sets. Equal sets are
     one class from the start, so copies are never paired.
 
     Null or wordless texts are linked with nothing and kept. Rows without an id are kept and linked with nothing.
