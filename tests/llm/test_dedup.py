@@ -78,3 +78,32 @@ def test_bad_parameters(spark):
         substring_dedup(docs, 3)
     with pytest.raises(ValueError):
         suffix_dedup(docs, 10)
+
+
+def test_components_grow(spark):
+    """Links in two lots give the groups that all of them give at once, chains and hubs included."""
+    import random
+
+    from kindred.llm._shared import Scratch
+    from kindred.llm.minhash_dedup import components
+
+    draw = random.Random(3)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(draw.randrange(200, 300), draw.randrange(200, 300)) for _ in range(60)]
+    draw.shuffle(links)
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    scratch = Scratch(spark)
+    lots = [spark.createDataFrame([p for p in lot if p[0] != p[1]], "a long, b long") for lot in (links[:60], links[60:])]
+    known = components(scratch, lots[0], "one")
+    got = {r.id: r.comp for r in components(scratch, lots[1], "two", known).collect()}
+    assert got == {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
+    none = components(scratch, lots[0].limit(0), "none")
+    assert none.count() == 0 and components(scratch, lots[0].limit(0), "still", known).count() == known.count()
