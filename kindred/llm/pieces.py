@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the format: an unknown character scores this much below the worst piece
-CACHE = 200_000  # words whose pieces a worker keeps
+CACHE = 600_000  # words whose pieces a worker keeps
 
 
 def pack_id(i: int) -> bytes:
@@ -59,7 +59,7 @@ class Pieces:
     def learn(self, words: set[str]) -> None:
         """Segment words that are not known yet: in sorted order they run through a trie depth-first, and the forward
         scores up to the prefix that a word shares with the one before it are still there."""
-        tails, floor, ids_of, cache = self.tails, self.floor, self.ids_of, self.cache
+        ending, whole, floor, ids_of, cache = self.tails.get, self.packed.get, self.floor, self.ids_of, self.cache
         best, back, before = [0.0], [0], ""
         for word in sorted(words):
             shared, size = 0, len(word)
@@ -72,17 +72,18 @@ class Pieces:
                 begin = start = end - 1
                 top = best[begin] + floor
                 # backwards as long as some piece ends like this
-                while begin >= 0 and (score := tails.get(word[begin:end])) is not None:
+                while begin >= 0 and (score := ending(word[begin:end])) is not None:
                     if (sum_ := best[begin] + score) > top:
                         top, start = sum_, begin
                     begin -= 1
                 best.append(top)
                 back.append(start)
-            found = []
+            ids = b""
             while size:
-                found.append(word[back[size] : size])
+                piece = word[back[size] : size]
+                ids = (whole(piece) or ids_of(piece)) + ids
                 size = back[size]
-            cache[word] = b"".join([ids_of(x) for x in reversed(found)])
+            cache[word] = ids
             before = word
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -110,7 +111,7 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-PORTION = 1 << 20
+PORTION = 4 << 20  # characters that are segmented at a time: more words share more prefixes
 
 
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", column: str = "ids") -> DataFrame:
