@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the format: an unknown character scores this much below the worst piece
-CACHE = 600_000  # words whose pieces a worker keeps
+CACHE = 300_000  # words whose pieces a worker keeps
 
 
 def pack_id(i: int) -> bytes:
@@ -111,7 +111,7 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-PORTION = 4 << 20  # characters that are segmented at a time: more words share more prefixes
+PORTION = 2 << 20  # characters that are segmented at a time: more words share more prefixes
 
 
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", column: str = "ids") -> DataFrame:
