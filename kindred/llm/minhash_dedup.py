@@ -18,7 +18,7 @@ from .substring_dedup import word_names
 
 TREES, DEPTH = 40, 6  # a pair at a similarity of 0.8 shares no prefix of DEPTH values in any tree once in 200,000 times
 TILE = 256  # members of a region that are compared with as many at a time
-DENSE = 512  # members beyond which a region is looked at two values deeper, and then four more
+DENSE = 512  # members beyond which a region is cut into tiles of about as many, whose pairs are dealt over tasks
 MERGES = 2  # rounds of merging by best pairs before all pairs between groups are compared
 FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=U)) | U(1)
 
@@ -79,7 +79,7 @@ def sketched(size: int):
 
 
 def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document and tree: names of the prefixes of 6, 8 and 12 values of its label there."""
+    """A row for each document and tree: the tree, and names of the prefixes of 6, 8 and 12 values of its label there."""
     for batch in batches:
         n = batch.num_rows
         values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(n, -1).astype(U)
@@ -91,10 +91,11 @@ def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p12 = mix(p8 ^ packed(8, 12))
         per = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), TREES), pa.int64())
         columns = [pa.array(p.ravel().view(np.int64)) for p in (p6, p8, p12)]
-        yield pa.RecordBatch.from_arrays([*columns, per("id"), per("n")], ["p6", "p8", "p12", "id", "n"])
+        tree = pa.array(np.tile(np.arange(TREES, dtype=np.int32), n))
+        yield pa.RecordBatch.from_arrays([tree, *columns, per("id"), per("n")], ["tree", "p6", "p8", "p12", "id", "n"])
 
 
-LABELS = "p6 long, p8 long, p12 long, id long, n long"
+LABELS = "tree int, p6 long, p8 long, p12 long, id long, n long"
 NEXT = "edge boolean, part int, p6 long, a long, na long, b long, nb long, group long"
 
 
@@ -132,27 +133,53 @@ def adjacent(scratch: Scratch, labels: DataFrame, name: str) -> DataFrame:
     return near.where("NOT edge").select("a", "na", "b", "nb").union(seam)
 
 
+def tiled(rows: DataFrame) -> DataFrame:
+    """rows (p6, id, comp and others) of regions with more than one component, once for each pair of tiles to compare.
+
+    A region of DENSE rows at most is one tile, compared with itself. In larger ones the largest component has tiles of
+    its own, which meet those of the rest only; tiles of the rest meet each other and themselves. x and y are the tiles
+    that meet (equal: one with itself), tile is the row's own.
+    """
+    per = rows.groupBy("p6", "comp").agg(F.count("*").alias("m"))
+    size = per.groupBy("p6").agg(F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    size = size.select("p6", F.expr(f"size <= {DENSE}").alias("whole"), F.col("top.comp").alias("main"), F.expr(f"CAST(ceil(top.m / {DENSE}) AS INT)").alias("own"), F.expr(f"CAST(ceil((size - top.m) / {DENSE}) AS INT)").alias("rest"))
+    placed = rows.join(size, "p6").withColumn("tile", F.expr("CASE WHEN whole THEN 0 WHEN comp = main THEN rest + pmod(xxhash64(id), own) ELSE pmod(xxhash64(id), rest) END").cast("int"))
+    met = F.explode(F.expr("CASE WHEN whole THEN array(0) WHEN comp = main THEN sequence(0, rest - 1) ELSE sequence(0, rest + own - 1) END"))
+    placed = placed.withColumn("met", met).withColumns({"x": F.least("tile", "met"), "y": F.greatest("tile", "met")})
+    return placed.drop("whole", "main", "own", "rest", "met")
+
+
 def promising(percent: int):
-    """Of a region's rows, the pairs of two groups that are likely enough to be similar by their whole signatures.
+    """Of two tiles of a region, the pairs of two groups that are likely enough to be similar by their whole signatures.
 
-    At a similarity of percent the share of equal values is more than a tenth below it once in 20,000 times.
+    At a similarity of percent the share of equal values is more than a tenth below it once in 20,000 times. A pair that
+    shares prefixes in several trees comes from the first of them only.
     """
 
-    def run(t: pa.Table) -> pa.Table:
-        ids, n, comp = (t[c].to_numpy() for c in ("id", "n", "comp"))
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ids, n, comp, tile = (t[c].to_numpy() for c in ("id", "n", "comp", "tile"))
+        tree, alone = t["tree"][0].as_py(), key[1].as_py() == key[2].as_py()
         values = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(ids), -1)
         least = (percent / 100 - 0.1) * values.shape[1]
+        one = np.flatnonzero(tile == key[1].as_py())
+        two = one if alone else np.flatnonzero(tile == key[2].as_py())
         found: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], ids[:0])]
-        for i in range(0, len(ids), TILE):
-            for j in range(i, len(ids), TILE):
-                x, y = slice(i, i + TILE), slice(j, j + TILE)
+        for i in range(0, len(one), TILE):
+            for j in range(i if alone else 0, len(two), TILE):
+                x, y = one[i : i + TILE], two[j : j + TILE]
                 ok = (comp[x, None] != comp[None, y]) & (ids[x, None] != ids[None, y])
                 ok &= 100 * np.minimum(n[x, None], n[None, y]) >= percent * np.maximum(n[x, None], n[None, y])
-                if i == j:
+                if alone and i == j:
                     ok = np.triu(ok, 1)
+                if 8 * np.count_nonzero(ok) > ok.size:  # most of them at once, a value at a time
+                    same = np.zeros(ok.shape, np.uint8)
+                    for p, q in zip(np.ascontiguousarray(values[x].T), np.ascontiguousarray(values[y].T), strict=True):
+                        same += p[:, None] == q
+                    ok &= same >= least
                 u, v = np.nonzero(ok)
-                like = (values[x][u] == values[y][v]).sum(1) >= least
-                found.append((ids[x][u[like]], ids[y][v[like]]))
+                equal = values[x[u]] == values[y[v]]
+                like = (equal.sum(1) >= least) & (equal.reshape(-1, TREES, DEPTH).all(2).argmax(1) == tree)
+                found.append((ids[x[u[like]]], ids[y[v[like]]]))
         a, b = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -286,17 +313,11 @@ def near_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5, id_
         comps = components(scratch, confirmed(picked, f"links{k}"), f"merge{k}", comps)
         apart = apart.join(picked, ["a", "b"], "left_anti")
 
-    # last, regions that still hold more than one component: all pairs across components, deeper where it is dense
+    # last, regions that still hold more than one component: all pairs across components, whatever their size
     rows = scratch.freeze(grouped(rows, comps), "grouped")
-    cands = []
-    for prefix in ("p6", "p8", "p12"):
-        size = rows.groupBy(prefix).agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        open_rows = rows.join(size.select(prefix, "size"), prefix)
-        here = open_rows if prefix == "p12" else open_rows.where(F.col("size") <= DENSE)
-        here = here.select(prefix, "id", "n", "comp").join(reps.select("id", "sig"), "id")
-        cands.append(here.groupBy(prefix).applyInArrow(promising(percent), "a long, b long"))
-        rows = scratch.freeze(open_rows.where(F.col("size") > DENSE).drop("size"), f"dense_{prefix}") if prefix != "p12" else rows
-    rest = reduce(DataFrame.union, cands).distinct().join(tested, ["a", "b"], "left_anti")
+    here = tiled(rows.select("p6", "tree", "id", "n", "comp")).join(reps.select("id", "sig"), "id")
+    cands = here.groupBy("p6", "x", "y").applyInArrow(promising(percent), "a long, b long")
+    rest = cands.distinct().join(tested, ["a", "b"], "left_anti")
     comps = components(scratch, confirmed(rest, "links_rest"), "rest", comps)
 
     named = sets.select("id", "n", "key_a", "key_b").join(classes, ["key_a", "key_b"], "left")
@@ -311,8 +332,8 @@ def minhash_dedup(docs: DataFrame, percent: int = 80, shingle_words: int = 5, id
     sequence); documents are linked when the intersection is percent of the union at least, and groups are what links
     connect. An LSH forest finds the pairs: each of TREES sorted orders ranks documents by a label of min-hash values,
     and those next to each other with a common prefix are compared, and each with the hub of its region (equal prefix);
-    then all pairs across groups inside a region, where dense regions are cut by a longer prefix. Every link is confirmed on the full sets. Equal sets are
-    one class from the start, so copies are never paired.
+    then all pairs across groups inside a region of any size, in tiles. Every link is confirmed on the full sets. Equal
+    sets are one class from the start, so copies are never paired.
 
     Null or wordless texts are linked with nothing and kept. Rows without an id are kept and linked with nothing.
     Repeated rows stay or go together, and so do rows of one id with different texts: they go if any of them does. An

@@ -59,6 +59,24 @@ def test_near_copies_of_one_base(spark):
     assert got == H.components(rows, 80, 2)
 
 
+def test_links_in_dense_regions(spark, monkeypatch):
+    """Pairs at exactly 0.8 among many that share prefixes with them are linked, in regions of more than one tile."""
+    import random
+
+    from kindred.llm import minhash_dedup as module
+
+    monkeypatch.setattr(module, "DENSE", 8)
+    draw = random.Random(11)
+    words = {f"w{i}" for i in range(215)}
+    rows = []
+    for i in range(120):
+        one = set(draw.sample(sorted(words), 180))
+        two = one - set(draw.sample(sorted(one), 20)) | set(draw.sample(sorted(words - one), 20))
+        rows += [(2 * i, " ".join(sorted(one)), "", 0), (2 * i + 1, " ".join(sorted(two)), "", 0)]
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_classes(spark.createDataFrame(rows, H.SCHEMA), 80, 1).collect()}
+    assert got == H.components(rows, 80, 1)
+
+
 def test_kept_documents(spark):
     rows = H.corpus(4)
     found = H.components(rows, 80, 5)
