@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ._shared import Scratch
 
-MIN_PAGES = 8  # pages of a host that a node must be on before its importance counts
+MIN_PAGES = 8  # different pages of a host that a node must be on before its importance counts
 IMPORTANCE = 0.3  # nodes below it are dropped
 STYLE_SHARE = 0.1  # weight of presentation against content in a node's importance
 TABLE_ROWS = 200_000  # bound on the nodes that are sent to every executor; more are joined by a shuffle
@@ -33,6 +33,7 @@ NOISE = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "di
 NOISE_WORDS = {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
 HEADS, HEAD_WORDS = {"header"}, {"header", "masthead", "topbar"}  # noise outside an article only
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar"}
+FRAME = {"html", "body"}
 MAIN, MAIN_ROLES = {"article", "main"}, {"main", "article"}
 
 
@@ -51,7 +52,7 @@ def described(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     noise = tag in NOISE or bool(words & NOISE_WORDS) or bool(roles & NOISE_ROLES) or hidden
     main = tag in MAIN or bool(roles & MAIN_ROLES) or found.get("itemprop", "").lower() == "articlebody"
-    return tag + "".join(f".{w}" for w in sorted(words)), noise and tag not in ("html", "body"), tag in HEADS or bool(words & HEAD_WORDS), main
+    return tag + "".join(f".{w}" for w in sorted(words)), noise and tag not in FRAME, tag in HEADS or bool(words & HEAD_WORDS), main
 
 
 class Page:
@@ -60,6 +61,7 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, tuple[int, ...], bool, bool, bool]] = []  # text, nodes, noise, main, prose
         self.styles: dict[int, list[str]] = {}
+        self.frame = {0}  # nodes of the page as a whole: the root, html and body
         # open elements: tag, node names up to here, noise, main
         self.stack: list[tuple[str, tuple[int, ...], bool, bool]] = [("", (0,), False, False)]
         self.pieces: list[str] = []
@@ -95,7 +97,11 @@ class Page:
                 self.stack.pop()
         _, nodes, was_noise, was_main = self.stack[-1]
         self.styles.setdefault(nodes[-1], []).append(label)
-        self.stack.append((tag, (*nodes, node_name(nodes[-1], label)) if len(nodes) < 64 else nodes, was_noise or noise or (head and not (was_main or main)), was_main or main))
+        if len(nodes) < 64:
+            nodes = (*nodes, node_name(nodes[-1], label))
+            if tag in FRAME:
+                self.frame.add(nodes[-1])
+        self.stack.append((tag, nodes, was_noise or noise or (head and not (was_main or main)), was_main or main))
 
     def close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -113,12 +119,16 @@ class Page:
             tag, nodes, noise, main = self.stack[-1]
             self.blocks.append((text, nodes, noise, main, tag in PROSE))
 
+    def name(self) -> int:
+        """The name of all text outside noise: pages of one name are copies."""
+        return node_name(0, " ".join(b[0] for b in self.blocks if not b[2]))
+
     def nodes(self) -> Iterator[tuple[int, int, int]]:
-        """For each node outside noise: names of its content and of its presentation on this page."""
+        """For each node outside noise but the page's frame: names of its content and of its presentation on this page."""
         content: dict[int, list[str]] = {}
         for text, nodes, noise, _, _ in self.blocks:
             if not noise:
-                for n in set(nodes):
+                for n in set(nodes) - self.frame:
                     content.setdefault(n, []).append(text)
         for n, texts in content.items():
             yield n, node_name(0, " ".join(texts)), node_name(1, " ".join(self.styles.get(n, [])))
@@ -127,9 +137,15 @@ class Page:
         """The article where the page marks one, else all that is not noise, without branches of low importance.
 
         Inside an article only what is not prose by its tag can be a branch of low importance: copies of an article on
-        many pages of a host are still articles.
+        many pages of a host are still articles. The frame and what holds most of a page's text are no branches.
         """
         blocks = [b for b in self.blocks if not b[2]]
+        held: dict[int, int] = {}
+        for t, nodes, *_ in blocks:
+            for n in low.intersection(nodes):
+                held[n] = held.get(n, 0) + len(t)
+        half = sum(len(b[0]) for b in blocks) / 2
+        low = {n for n, size in held.items() if size <= half} - self.frame
         marked = [b for b in blocks if b[3]]
         return " ".join(t for t, nodes, _, main, prose in marked or blocks if main and prose or not low.intersection(nodes))
 
@@ -141,18 +157,23 @@ def host_of(url: str | None) -> str:
 
 def site_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(host_of(u), *n) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True) for n in Page(h or "").nodes()]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "node", "content", "style"])
+        rows = []
+        for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            page, host = Page(h or ""), host_of(u)
+            whole = page.name()
+            rows += [(host, whole, *n) for n in page.nodes()]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "node", "content", "style"])
 
 
 def low_nodes(scratch: Scratch, pages: DataFrame) -> DataFrame:
     """(host, node) of the branches that a host's pages share: importance below IMPORTANCE on MIN_PAGES pages or more.
 
     A node's importance mixes the entropies of its contents and of its presentations over the m pages it is on, to the
-    base m: 0 when all pages have the same, 1 when each has its own.
+    base m: 0 when all pages have the same, 1 when each has its own. Copies of a page on its host count once, so that
+    its text does not pass for what different pages share.
     """
-    rows = pages.select("url", "html").mapInArrow(site_nodes, "host string, node long, content long, style long")
+    rows = pages.select("url", "html").mapInArrow(site_nodes, "host string, page long, node long, content long, style long").distinct()
     rows = scratch.freeze(rows.groupBy("host", "node", "content", "style").agg(F.count("*").alias("k")), "nodes")
 
     def entropy(column: str) -> DataFrame:
@@ -169,7 +190,8 @@ def html_extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
 
     The DOMs of a host's pages are merged into a style tree, whose nodes are told apart by the tags, classes and ids on
     their path. A node has the entropy of its contents and presentations over the pages it is on; branches of low
-    importance, the same on most pages, are dropped from each page, and so is what a page itself marks as menu, header,
+    importance, the same on most pages that differ, are dropped from each page (never html, body or what holds more than
+    half of a page's text), and so is what a page itself marks as menu, header,
     footer, sidebar, notice, advert, form, script, style or comments. Where a page marks an article, its text is what is
     left of the article; otherwise of the page. Character references are decoded, white space in a block becomes one
     space, and blocks are joined by one space in page order.

@@ -186,6 +186,19 @@ def test_html_site_noise(spark):
     assert html_extract.html_extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_are_no_template(spark):
+    """Where copies prevail on a host, neither they nor its other pages lose their text."""
+    story = lambda i: " ".join(f"word{i * 7 + k}" for k in range(12))
+    rows = [(i, "http://copies.example/", f"<html><body class=a><div class=wrap><p>{story(0 if i < 30 else i)}</p></div></body></html>") for i in range(40)]
+    rows += [(100 + i, None, "<p>alone</p>") for i in range(8)]
+    want = [(i, story(0 if i < 30 else i)) for i in range(40)] + [(100 + i, "alone") for i in range(8)]
+    # copies that differ in a count
+    rows += [(200 + i, "http://counts.example/", f"<div class=story>{story(0 if i < 30 else i)}</div><div class=seen>seen {i}</div>") for i in range(40)]
+    want += [(200 + i, f"{story(0 if i < 30 else i)} seen {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in html_extract.html_extract(df).collect()) == sorted(want)
+
+
 def test_html_large_table_is_joined(spark, monkeypatch):
     rows = [(i, "http://h.example/%d" % i, f"<div class=top>Our shop</div><div class=body>Story {i}</div>") for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
