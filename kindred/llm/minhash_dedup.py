@@ -19,6 +19,7 @@ from .substring_dedup import word_names
 TREES, DEPTH = 40, 6  # a pair at a similarity of 0.8 shares no prefix of DEPTH values in any tree once in 200,000 times
 TILE = 256  # members of a region that are compared with as many at a time
 DENSE = 512  # members beyond which a region is cut into tiles of about as many, whose pairs are dealt over tasks
+BELOW = 0.15  # share of equal signature values below the similarity asked for, beyond which a pair is not tested
 MERGES = 2  # rounds of merging by best pairs before all pairs between groups are compared
 FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=U)) | U(1)
 
@@ -152,7 +153,7 @@ def tiled(rows: DataFrame) -> DataFrame:
 def promising(percent: int):
     """Of two tiles of a region, the pairs of two groups that are likely enough to be similar by their whole signatures.
 
-    At a similarity of percent the share of equal values is more than a tenth below it once in 20,000 times. A pair that
+    At a similarity of 0.8 the share of equal values is below 0.65 twice in 100,000,000 times. A pair that
     shares prefixes in several trees comes from the first of them only.
     """
 
@@ -160,7 +161,7 @@ def promising(percent: int):
         ids, n, comp, tile = (t[c].to_numpy() for c in ("id", "n", "comp", "tile"))
         tree, alone = t["tree"][0].as_py(), key[1].as_py() == key[2].as_py()
         values = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        least = (percent / 100 - 0.1) * values.shape[1]
+        least = (percent / 100 - BELOW) * values.shape[1]
         one = np.flatnonzero(tile == key[1].as_py())
         two = one if alone else np.flatnonzero(tile == key[2].as_py())
         found: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], ids[:0])]

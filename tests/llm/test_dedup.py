@@ -77,6 +77,20 @@ def test_links_in_dense_regions(spark, monkeypatch):
     assert got == H.components(rows, 80, 1)
 
 
+def test_signatures_that_agree_less():
+    """A pair whose signatures agree in two thirds of their values is left to the exact test, from its first tree."""
+    import numpy as np
+    import pyarrow as pa
+
+    from kindred.llm.minhash_dedup import promising
+
+    one = np.arange(240, dtype=np.uint16)
+    two = np.where(np.arange(240) < 160, one, one + 1000).astype(np.uint16)
+    for tree, want in ((0, 1), (1, 0)):
+        t = pa.table({"id": [1, 2], "n": [100, 100], "comp": [1, 2], "tile": [0, 0], "tree": [tree] * 2, "sig": [one.tobytes(), two.tobytes()]})
+        assert promising(80)((pa.scalar(7), pa.scalar(0), pa.scalar(0)), t).num_rows == want
+
+
 def test_kept_documents(spark):
     rows = H.corpus(4)
     found = H.components(rows, 80, 5)
