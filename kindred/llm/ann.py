@@ -135,7 +135,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     fewer than k codes within the radius, it widens. Vectors and queries meet in blocks of bounded size.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id. Vectors that are null, empty, zero, hold
-    null or non-finite components or have another length than the first of the sample take no part, nor do rows without
+    null or non-finite components or have another length than most (of equally common ones the least) take no part, nor do rows without
     an id. Repeated vectors are candidates each. With fewer than k others, all are returned; an empty table gives an
     empty result. Other columns are not looked at.
     """
@@ -149,13 +149,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         return df.where(finite & F.exists("vector", lambda c: c != 0))
 
     good, asked = usable(vectors), usable(queries)
-    sample = good.orderBy(F.xxhash64("id", "vector"), "id").limit(rows).collect()  # at most rows vectors
+    common = good.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
     schema = "query_id long, vec_id long, score double"
-    if not sample:
+    if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = len(sample[0]["vector"])
-    coder = learn(unit_rows(np.array([r["vector"] for r in sample if len(r["vector"]) == size])), k)
+    size = common["size"]
     good, asked = (scratch.freeze(df.where(F.size("vector") == size), name) for df, name in ((good, "rows"), (asked, "queries")))
+    sample = good.orderBy(F.xxhash64("id", "vector"), "id").limit(rows).collect()  # at most rows vectors
+    coder = learn(unit_rows(np.array([r["vector"] for r in sample])), k)
     blocks, lots = (max(1, -(-df.count() // n)) for df, n in ((good, ROWS_BLOCK), (asked, QUERY_BLOCK)))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

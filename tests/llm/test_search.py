@@ -83,3 +83,17 @@ def test_url_filters(spark):
         assert sorted(((r.page_id, r.f_host, r.f_path, r.f_rule, r.f_verdict) for r in got), key=str) == sorted(((i, *judge(u, rules)) for i, u, *_ in rows), key=str)
         assert {r.host for r in got} == {"mine"}
     assert url_filters.url_filters(df.select("page_id", "url").limit(0), url_filters.RULES).count() == 0
+
+
+def test_neighbours_beside_odd_lengths(spark):
+    """A few vectors of another length, whichever hashes come first, do not displace the table's own."""
+    from pyspark.sql import functions as F
+
+    from kindred.llm.ann import nearest
+
+    rows = [(i, [float(i + 1), 1.0, float(i * i % 7)]) for i in range(20)]
+    odd = spark.range(100, 400).select(F.col("id").alias("vec_id"), F.array(F.lit(2.0)).alias("embedding"))
+    first = odd.orderBy(F.xxhash64("vec_id", "embedding")).limit(5)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df.union(first), df, 3).collect()
+    assert len(got) == 60 and {r.vec_id for r in got} <= set(range(20))
