@@ -20,6 +20,9 @@ TREES, DEPTH = 40, 6  # a pair at a similarity of 0.8 shares no prefix of DEPTH
 TILE = 256  # members of a region that are compared with as many at a time
 DENSE = 512  # members beyond which a region is cut into tiles of about as many, whose pairs are dealt over tasks
 BELOW = 0.15  # share of equal signature values below the similarity asked for, beyond which a pair is not tested
+LEAST = 256  # least shingle names that a region's members bring along: of a set with no more of them, all
+BELOW_BOTH = 0.1  # the same share of values and names together, where a set has more names than that
+PAIRS = 2_048  # pairs whose names are compared at a time
 MERGES = 2  # rounds of merging by best pairs before all pairs between groups are compared
 FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=U)) | U(1)
 
@@ -150,17 +153,58 @@ def tiled(rows: DataFrame) -> DataFrame:
     return placed.drop("whole", "main", "own", "rest", "met")
 
 
+def least_names(size: int):
+    """(id, low) of texts: the LEAST least names of the shingle set, 32 bits of each, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low: list[bytes] = []
+            for texts in portions(texts_of(batch.column("text"))):
+                names, counts = shingles(texts, size)
+                short, cut = (mix(names) >> U(32)).astype(np.uint32), np.r_[0, np.cumsum(counts)]
+                low += [np.sort(short[x:y])[:LEAST].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(low, pa.binary())], ["id", "low"])
+
+    return run
+
+
+def likely(percent: int, low: list[np.ndarray], n: np.ndarray, x: np.ndarray, y: np.ndarray, equal: np.ndarray, values: int) -> np.ndarray:
+    """Which pairs (x, y) of sets can be similar by their least names.
+
+    Where both sets have LEAST shingles at most, their names are the sets: the answer is that of the full sets, but for
+    one name, since two of a set may agree in 32 bits. Of larger ones the names up to the last that both bring are a sample of the
+    union, which counts together with the signatures (equal of so many values).
+    """
+    ok, pad = np.empty(len(x), bool), np.uint32(0xFFFFFFFF)
+    padded = lambda part: np.stack([np.r_[low[i], np.full(LEAST - len(low[i]), pad)] for i in part])
+    last = np.array([v[-1] if len(v) == LEAST and m > LEAST else pad - 1 for v, m in zip(low, n, strict=True)], np.uint32)
+    for p in range(0, len(x), PAIRS):
+        a, b = x[p : p + PAIRS], y[p : p + PAIRS]
+        (some, i), (more, j) = (np.unique(c, return_inverse=True) for c in (a, b))
+        both = np.sort(np.hstack([padded(some)[i], padded(more)[j]]), axis=1)
+        inside = both <= np.minimum(last[a], last[b])[:, None]
+        met = ((both[:, 1:] == both[:, :-1]) & inside[:, 1:]).sum(1)
+        union = inside.sum(1) - met
+        whole = (n[a] <= LEAST) & (n[b] <= LEAST)
+        exact = 100 * (met + 1) >= percent * (n[a] + n[b] - met - 1)
+        sampled = met + equal[p : p + PAIRS] >= (percent / 100 - BELOW_BOTH) * (union + values)
+        ok[p : p + PAIRS] = np.where(whole, exact, sampled)
+    return ok
+
+
 def promising(percent: int):
-    """Of two tiles of a region, the pairs of two groups that are likely enough to be similar by their whole signatures.
+    """Of two tiles of a region, the pairs of two groups that can be similar by their signatures and least names.
 
-    At a similarity of 0.8 the share of equal values is below 0.65 twice in 100,000,000 times. A pair that
-    shares prefixes in several trees comes from the first of them only.
+    At a similarity of 0.8 the share of equal signature values is below 0.65 twice in 100,000,000 times, and that of
+    values and names together below 0.7 as seldom. A pair that shares prefixes in several trees comes from the first of
+    them only.
     """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         ids, n, comp, tile = (t[c].to_numpy() for c in ("id", "n", "comp", "tile"))
         tree, alone = t["tree"][0].as_py(), key[1].as_py() == key[2].as_py()
         values = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        low = [np.frombuffer(v, np.uint32) for v in t["low"].to_pylist()]
         least = (percent / 100 - BELOW) * values.shape[1]
         one = np.flatnonzero(tile == key[1].as_py())
         two = one if alone else np.flatnonzero(tile == key[2].as_py())
@@ -178,9 +222,13 @@ def promising(percent: int):
                         same += p[:, None] == q
                     ok &= same >= least
                 u, v = np.nonzero(ok)
-                equal = values[x[u]] == values[y[v]]
-                like = (equal.sum(1) >= least) & (equal.reshape(-1, TREES, DEPTH).all(2).argmax(1) == tree)
-                found.append((ids[x[u[like]]], ids[y[v[like]]]))
+                u, v = x[u], y[v]
+                equal = values[u] == values[v]
+                share = equal.sum(1)
+                like = (share >= least) & (equal.reshape(-1, TREES, DEPTH).all(2).argmax(1) == tree)
+                u, v = u[like], v[like]
+                like = likely(percent, low, n, u, v, share[like], values.shape[1])
+                found.append((ids[u[like]], ids[v[like]]))
         a, b = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -316,7 +364,9 @@ def near_classes(docs: DataFrame, percent: int = 80, shingle_words: int = 5, id_
 
     # last, regions that still hold more than one component: all pairs across components, whatever their size
     rows = scratch.freeze(grouped(rows, comps), "grouped")
-    here = tiled(rows.select("p6", "tree", "id", "n", "comp")).join(reps.select("id", "sig"), "id")
+    here = scratch.freeze(tiled(rows.select("p6", "tree", "id", "n", "comp")), "tiles")
+    low = texts.join(here.select("id").distinct(), "id", "left_semi").mapInArrow(least_names(shingle_words), "id long, low binary")
+    here = here.join(reps.select("id", "sig"), "id").join(low, "id")
     cands = here.groupBy("p6", "x", "y").applyInArrow(promising(percent), "a long, b long")
     rest = cands.distinct().join(tested, ["a", "b"], "left_anti")
     comps = components(scratch, confirmed(rest, "links_rest"), "rest", comps)

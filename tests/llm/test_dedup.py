@@ -77,8 +77,47 @@ def test_links_in_dense_regions(spark, monkeypatch):
     assert got == H.components(rows, 80, 1)
 
 
+def test_links_in_a_region_above_its_bound(spark):
+    """Pairs at 0.80 to 0.82 are linked where regions hold more members than one tile."""
+    import random
+
+    import numpy as np
+
+    from kindred.llm import minhash_dedup as module
+
+    draw, n = random.Random(13), 2600
+    words = range(206)
+    sets = []
+    for _ in range(n // 2):
+        one = set(draw.sample(words, 178))
+        k = draw.choice([18, 19])
+        sets += [one, one - set(draw.sample(sorted(one), k)) | set(draw.sample(sorted(set(words) - one), k))]
+    x = np.zeros((n, 206), np.float32)
+    for i, s in enumerate(sets):
+        x[i, list(s)] = 1
+    # twenty words that only the two of a pair share
+    rows = [(i, " ".join(sorted([*(f"w{k}" for k in s), *(f"own{i // 2}_{k}" for k in range(20))])), "", 0) for i, s in enumerate(sets)]
+    both = x @ x.T + 20 * (np.arange(n)[:, None] // 2 == np.arange(n) // 2)
+    linked = 100 * both >= 80 * (2 * 198 - both)
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        low, high = sorted((find(i), find(j)))
+        root[high] = low
+    docs = spark.createDataFrame(rows, H.SCHEMA)
+    labels = docs.selectExpr("doc_id AS id", "text").mapInArrow(module.sketched(1), "id long, n long, key_a long, key_b long, sig binary").select("id", "n", "sig").mapInArrow(module.labelled, module.LABELS)
+    assert labels.groupBy("p6").count().agg({"count": "max"}).first()[0] > module.DENSE
+    got = {r.id: r.component_id for r in near_classes(docs, 80, 1).collect()}
+    assert got == {i: find(i) for i in range(n)}
+
+
 def test_signatures_that_agree_less():
-    """A pair whose signatures agree in two thirds of their values is left to the exact test, from its first tree."""
+    """A pair whose signatures agree in two thirds of their values is left to its names, from its first tree."""
     import numpy as np
     import pyarrow as pa
 
@@ -86,11 +125,36 @@ def test_signatures_that_agree_less():
 
     one = np.arange(240, dtype=np.uint16)
     two = np.where(np.arange(240) < 160, one, one + 1000).astype(np.uint16)
-    for tree, want in ((0, 1), (1, 0)):
-        t = pa.table({"id": [1, 2], "n": [100, 100], "comp": [1, 2], "tile": [0, 0], "tree": [tree] * 2, "sig": [one.tobytes(), two.tobytes()]})
+    for shared, tree, want in ((90, 0, 1), (90, 1, 0), (80, 0, 0)):
+        low = [np.arange(100, dtype=np.uint32).tobytes(), np.arange(100 - shared, 200 - shared, dtype=np.uint32).tobytes()]
+        t = pa.table({"id": [1, 2], "n": [100, 100], "comp": [1, 2], "tile": [0, 0], "tree": [tree] * 2, "sig": [one.tobytes(), two.tobytes()], "low": low})
         assert promising(80)((pa.scalar(7), pa.scalar(0), pa.scalar(0)), t).num_rows == want
 
 
+def test_least_names_lose_no_link():
+    """Pairs of sets at 0.8 and more pass, whatever their sizes; small sets below 0.78 do not."""
+    import numpy as np
+
+    from kindred.llm import minhash_dedup as module
+
+    draw = np.random.default_rng(5)
+    sets, pairs, alike = [], [], []
+    for size in (1, 5, 90, 200, 256, 257, 400, 3000):
+        for share in (0.5, 0.7, 0.8, 0.85, 1.0):
+            for _ in range(20):
+                both = int(np.ceil(2 * size * share / (1 + share)))
+                names = draw.choice(1 << 32, 2 * size - both, replace=False).astype(np.uint32)
+                pairs.append((len(sets), len(sets) + 1))
+                alike.append(both / (2 * size - both))
+                sets += [names[:size], names[size - both :]]
+    low, n = [np.sort(s)[: module.LEAST] for s in sets], np.array([len(s) for s in sets])
+    x, y = np.array(pairs).T
+    equal = np.random.default_rng(6).binomial(240, alike)
+    got = module.likely(80, low, n, x, y, equal, 240)
+    alike = np.array(alike)
+    assert got[alike >= 0.8].all() and not got[(alike < 0.78) & (n[x] > 90) & (n[x] <= 256)].any() and not got[alike < 0.6].any()
+
+
 def test_kept_documents(spark):
     rows = H.corpus(4)
     found = H.components(rows, 80, 5)
