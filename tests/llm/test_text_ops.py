@@ -81,6 +81,45 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], H.SCHEMA), path).count() == 0
 
 
+AWKWARD = ["", " ", "a  b", "\t\n x\u00a0y", "don't I'LL we've", "日本語 🔥\u200d", "<|endoftext|>a <|endoftext|>", "١٢3 ½²", "\u2028\x85\x1c.\x00", "e\u0301 Ａ", "'s''re", "  \n\n  end  ", "\ufeffx", "a" * 3000]
+
+
+def test_ids_are_those_of_the_library(tmp_path):
+    """For the file at hand, by the fast encoding; for files that ask for more, by the library itself."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    assert packing.ranked(path)
+    assert [packing.encoder(path)(t) for t in AWKWARD] == [library.encode(t, add_special_tokens=False).ids for t in AWKWARD]
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    for key, value in (("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})):
+        other = f"{tmp_path}/{key}.json"
+        with open(other, "w", encoding="utf-8") as f:
+            json.dump(file | {key: value}, f)
+        assert not packing.ranked(other)
+        library = Tokenizer.from_file(other)
+        assert [packing.encoder(other)(t) for t in AWKWARD] == [library.encode(t, add_special_tokens=False).ids for t in AWKWARD]
+
+
+def test_a_block_of_tiny_documents():
+    """As many one-token pieces as a block can hold, and pieces of all sizes, are packed in little memory."""
+    import tracemalloc
+
+    for sizes in ([1] * (256 * 2048), [*range(1, 1000), *[3] * 20_000, *[511] * 300]):
+        tracemalloc.start()
+        out = packing.balanced(sizes, 2048)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 << 20
+        assert sorted(i for w in out for i in w) == list(range(len(sizes)))
+        assert max(sum(sizes[i] for i in w) for w in out) <= 2048
+        assert sum(sizes) > 0.98 * 2048 * len(out)
+
+
 def test_differencing_balances():
     assert packing.balanced([8, 7, 6, 5, 4], 15) == packing.balanced([8, 7, 6, 5, 4], 15)
     sums = sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in packing.difference([8, 7, 6, 5, 4], 2))
