@@ -16,6 +16,7 @@ from kindred.llm.minhash_dedup import minhash_dedup
 from kindred.llm.packing import pack
 from kindred.llm.quality import quality_classifier
 from kindred.llm.substring_dedup import substring_dedup
+from kindred.plans.scratch import passing
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +61,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read by the next."""
+    """All stages over documents, each written as Parquet and read by the next; what a stage kept beside goes with it."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.freeze(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with passing():
+            docs = scratch.freeze(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)

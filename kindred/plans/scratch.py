@@ -7,6 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,15 +16,38 @@ FILE_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, set here, only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, in local mode only, a temporary one, set here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="kindred-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+OPEN: list[Scratch] = []
+
+
+@atexit.register
+def leave() -> None:
+    for scratch in OPEN:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            scratch.drop()
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Scratch tables made inside are dropped at the end: what is to stay must be written to others by then."""
+    first = len(OPEN)
+    yield
+    for scratch in OPEN[first:]:
+        scratch.drop()
+    del OPEN[first:]
+
+
 class Scratch:
     """Parquet tables in the shared folder that belong to one run of an operator.
 
@@ -34,11 +58,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kindred-{uuid.uuid4().hex}"
         self.tables: list[str] = []
-        atexit.register(self.leave)
-
-    def leave(self) -> None:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            self.drop()
+        OPEN.append(self)
 
     def freeze(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """Write df and read it back: later jobs start from the files, whichever executors are lost.
