@@ -238,6 +238,55 @@ def test_html_copies_are_no_template(spark):
     assert sorted((r.page_id, r.text) for r in html_extract.html_extract(df).collect()) == sorted(want)
 
 
+def test_html_tree_alone_finds_the_articles(spark):
+    """On the pages at hand, without what pages say of themselves: the tree's branches leave just the articles of hosts
+    that have pages enough; without the tree, no page comes out right."""
+    import pathlib
+
+    folder = pathlib.Path("/root/testdata/sf0.1/pages.parquet")
+    if not folder.exists():
+        pytest.skip("no pages at hand")
+    pages = spark.read.parquet(str(folder)).select("page_id", "url", "html").where("crc32(split(url, '/')[2]) % 5 = 0")
+    want = {r.page_id: html_extract.Page(r.html or "").text(set()) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_extract.html_extract(pages, marks=False).select("page_id", "text").collect()}
+    assert len(want) > 100 and np.mean([got[i] == want[i] for i in want]) > 0.99
+    bare = {r.page_id: html_extract.Page(r.html or "").text(set(), marks=False) for r in pages.collect()}
+    assert np.mean([bare[i] == want[i] for i in want]) < 0.01
+    assert {r.page_id: r.text for r in html_extract.html_extract(pages).select("page_id", "text").collect()} == want
+
+
+def test_html_importances(spark):
+    """Entropies and importances are those of a plain computation."""
+    from collections import Counter
+    from math import log
+
+    draw = np.random.default_rng(2)
+    rows = []
+    for host in ("a", "b"):
+        for page in range(30):
+            for node in (1, 2, 3):
+                if draw.random() < 0.8:
+                    rows.append((host, page, node, 0, node == 3, int(draw.integers(0, 5 * node)), int(draw.integers(0, node)), int(draw.integers(1, 99))))
+        rows += [(host, page, 4, 1, False, page, 0, 1) for page in range(html_extract.MIN_PAGES - 1)]
+    schema = "host string, page long, node long, parent long, prose boolean, content long, style long, size long"
+    got = {(r.host, r.node): r for r in html_extract.importances(spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == 6
+    for (host, node), r in got.items():
+        mine = [x for x in rows if x[0] == host and x[2] == node]
+        entropy = lambda k: -sum(c / len(mine) * log(c / len(mine), len(mine)) for c in Counter(x[k] for x in mine).values())
+        assert r["size"] == sum(x[7] for x in mine) and (r.parent, r.prose) == (0, node == 3)
+        assert abs(r.content - entropy(5)) < 1e-9 and abs(r.style - entropy(6)) < 1e-9
+        assert abs(r.importance - entropy(5) * (entropy(6) + html_extract.PLAIN)) < 1e-9
+
+
+def test_html_deep_and_long_pages():
+    """Nesting of any depth, and a long page, in time that follows the page's length."""
+    deep = html_extract.Page("<div>" * 50_000 + "in the deep" + "</div>" * 50_000)
+    assert deep.text(set()) == "in the deep" and len(deep.summaries()) == 50_001
+    long = "".join(f"<p>line {i}</p>" for i in range(50_000))
+    assert html_extract.Page(long).text(set()) == " ".join(f"line {i}" for i in range(50_000))
+
+
 def test_html_large_table_is_joined(spark, monkeypatch):
     rows = [(i, "http://h.example/%d" % i, f"<div class=top>Our shop</div><div class=body>Story {i}</div>") for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
