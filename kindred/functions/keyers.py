@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import COMMAS, DOUBLE_QUOTES, HYPHENS, SINGLE_QUOTES, SPACE, by_rules, chars, clean, col, deburr
+from .text import COMMAS, DOUBLE_QUOTES, HYPHENS, SINGLE_QUOTES, SPACE, bound, by_rules, chars, clean, col, deburr
 from .tokens import fingerprint_tokens, name_tokens, words_naive
 from .udfs import kernel_column
 
@@ -40,8 +40,9 @@ def name_signature(c) -> Column:
 def normalize(c, keep_accents: bool = False, keep_case: bool = False) -> Column:
     """Lower case, single spaces, plain quotes, hyphens, commas, ellipses and ligatures, no controls, no marks."""
     out = col(c) if keep_case else F.lower(col(c))
-    cls = lambda s: "[" + re.sub(r"([\\\[\]\-^])", r"\\\1", s) + "]"
-    out = by_rules(out, [(f"^{SPACE}+|{SPACE}+$", ""), (f"{SPACE}+", " "), (r"[\x00-\x08\x0A-\x1F\x7F]", ""), (cls(SINGLE_QUOTES), "'"), (cls(DOUBLE_QUOTES), '"'), (cls(HYPHENS), "-"), (cls(COMMAS), ",")])
+    out = F.regexp_replace(F.trim(F.regexp_replace(out, f"{SPACE}+", " ")), r"[\x00-\x08\x0A-\x1F\x7F]", "")
+    marks = [(SINGLE_QUOTES, "'"), (DOUBLE_QUOTES, '"'), (HYPHENS, "-"), (COMMAS, ",")]
+    out = F.translate(out, "".join(m for m, _ in marks), "".join(to * len(m) for m, to in marks))
     for a, b in (("…", "..."), ("æ", "ae"), ("œ", "oe"), ("ß", "ss")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out if keep_accents else deburr(out)
@@ -49,18 +50,16 @@ def normalize(c, keep_accents: bool = False, keep_case: bool = False) -> Column:
 
 def omission(c) -> Column:
     """Consonants present, rarest first, then vowels in order of appearance."""
-    name = clean(c)
-    some = [F.when(F.contains(name, F.lit(x)), x).otherwise("") for x in OMISSION_ORDER]
-    vowels = F.array_distinct(chars(F.regexp_replace(name, f"[{OMISSION_ORDER}]", "")))
-    return F.concat(*some, F.array_join(vowels, ""))
+    some = lambda n: [F.when(F.contains(n, F.lit(x)), x).otherwise("") for x in OMISSION_ORDER]
+    vowels = lambda n: F.array_distinct(chars(F.regexp_replace(n, f"[{OMISSION_ORDER}]", "")))
+    return bound(clean(c), lambda n: F.concat(*some(n), F.array_join(vowels(n), "")))
 
 
 def skeleton(c) -> Column:
     """The first letter, then consonants and vowels each once in order of appearance."""
-    name = clean(c)
-    rest = F.array_remove(F.array_distinct(chars(name)), F.substring(name, 1, 1))
     vowel = lambda x: F.contains(F.lit("AEIOU"), x)
-    return F.concat(F.substring(name, 1, 1), F.array_join(F.filter(rest, lambda x: ~vowel(x)), ""), F.array_join(F.filter(rest, vowel), ""))
+    key = lambda n, rest: F.concat(F.substring(n, 1, 1), F.array_join(F.filter(rest, lambda x: ~vowel(x)), ""), F.array_join(F.filter(rest, vowel), ""))
+    return bound(clean(c), lambda n: bound(F.array_remove(F.array_distinct(chars(n)), F.substring(n, 1, 1)), lambda rest: key(n, rest)))
 
 
 def name_sets(tokens) -> list[list[str]]:

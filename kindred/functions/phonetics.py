@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import by_rules, clean, col, deburr, replaced, squeeze
+from .text import bound, by_rules, clean, col, deburr, replaced, squeeze
 
 # The rules and alphabets of each code, in the order in which they apply. A third member: first match only.
 CAVERPHONE_HEAD = [("e$", ""), ("^(cou|rou|tou|enou|trou)gh", "$12f"), ("^gn", "2n")]
@@ -91,27 +91,27 @@ def metaphone(c) -> Column:
 
 def nysiis(c, refined: bool = False) -> Column:
     name = by_rules(clean(c), NYSIIS_REFINED_FIRST if refined else NYSIIS_FIRST)
-    rest = by_rules(name, NYSIIS_REFINED_SECOND) if refined else by_rules(from_second(name), NYSIIS_SECOND)
-    return F.concat(F.substring(name, 1, 1), squeeze(rest))
+    rest = lambda n: by_rules(n, NYSIIS_REFINED_SECOND) if refined else by_rules(from_second(n), NYSIIS_SECOND)
+    return bound(name, lambda n: F.concat(F.substring(n, 1, 1), squeeze(rest(n))))
 
 
 def _soundex(name: Column, letters: str, codes: str) -> Column:
-    digits = F.translate(name, letters, codes)
-    tail = F.replace(from_second(digits), F.lit("D"), F.lit(""))
-    tail = F.when(F.substring(tail, 1, 1) == F.substring(digits, 1, 1), from_second(tail)).otherwise(tail)
-    return padded(F.concat(F.substring(name, 1, 1), F.replace(squeeze(tail), F.lit("0"), F.lit(""))), 4)
+    def tail(digits: Column) -> Column:
+        rest = F.replace(from_second(digits), F.lit("D"), F.lit(""))
+        return bound(rest, lambda t: F.when(F.substring(t, 1, 1) == F.substring(digits, 1, 1), from_second(t)).otherwise(t))
+
+    code = lambda n: F.replace(squeeze(bound(F.translate(n, letters, codes), tail)), F.lit("0"), F.lit(""))
+    return bound(name, lambda n: padded(F.concat(F.substring(n, 1, 1), code(n)), 4))
 
 
 def soundex(c) -> Column:
     """The built-in code of the cleaned name; '0000' for an empty one."""
-    name = clean(c)
-    return F.when(name == "", "0000").otherwise(F.soundex(name))
+    return bound(clean(c), lambda n: F.when(n == "", "0000").otherwise(F.soundex(n)))
 
 
 def soundex_refined(c) -> Column:
-    name = clean(c)
-    code = squeeze(F.replace(F.translate(name, SOUNDEX_LETTERS, REFINED_CODES), F.lit("D"), F.lit("")))
-    return F.concat(F.substring(name, 1, 1), code)
+    code = lambda n: squeeze(F.replace(F.translate(n, SOUNDEX_LETTERS, REFINED_CODES), F.lit("D"), F.lit("")))
+    return bound(clean(c), lambda n: F.concat(F.substring(n, 1, 1), code(n)))
 
 
 def onca(c) -> Column:
@@ -119,10 +119,9 @@ def onca(c) -> Column:
 
 
 def mra(c) -> Column:
-    name = clean(c)
-    codex = squeeze(F.concat(F.substring(name, 1, 1), F.regexp_replace(from_second(name), "[AEIOU]", "")))
-    tail = F.least(F.lit(3), F.char_length(codex) - 3)
-    return F.concat(F.substring(codex, 1, 3), F.when(tail > 0, F.right(codex, tail)).otherwise(""))
+    codex = bound(clean(c), lambda n: squeeze(F.concat(F.substring(n, 1, 1), F.regexp_replace(from_second(n), "[AEIOU]", ""))))
+    tail = lambda x: F.least(F.lit(3), F.char_length(x) - 3)
+    return bound(codex, lambda x: F.concat(F.substring(x, 1, 3), F.when(tail(x) > 0, F.right(x, tail(x))).otherwise("")))
 
 
 def spaced(c) -> Column:
@@ -130,15 +129,13 @@ def spaced(c) -> Column:
 
 
 def lein(c) -> Column:
-    name = spaced(c)
-    code = F.substring(squeeze(F.regexp_replace(from_second(name), "[AEIOUYWH]", "")), 1, 4)
-    return nonempty(name, padded(F.concat(F.substring(name, 1, 1), F.translate(code, LEIN_LETTERS, LEIN_CODES)), 4))
+    code = lambda n: F.substring(squeeze(F.regexp_replace(from_second(n), "[AEIOUYWH]", "")), 1, 4)
+    return bound(spaced(c), lambda n: nonempty(n, padded(F.concat(F.substring(n, 1, 1), F.translate(code(n), LEIN_LETTERS, LEIN_CODES)), 4)))
 
 
 def statcan(c) -> Column:
-    name = spaced(c)
-    code = F.regexp_replace(squeeze(F.regexp_replace(from_second(name), "[AEIOUY]", "")), r"\s", "")
-    return F.substring(F.concat(F.substring(name, 1, 1), code), 1, 4)
+    code = lambda n: F.regexp_replace(squeeze(F.regexp_replace(from_second(n), "[AEIOUY]", "")), r"\s", "")
+    return bound(spaced(c), lambda n: F.substring(F.concat(F.substring(n, 1, 1), code(n)), 1, 4))
 
 
 def fonem(c) -> Column:
@@ -156,10 +153,9 @@ def french_soundex(c) -> Column:
 def soundex2(c) -> Column:
     """French names. Only the first character that is no letter is dropped."""
     code = replaced(F.upper(deburr(F.trim(col(c)))), "[^A-Z]", "", once=True)
-    code = by_rules(code, SOUNDEX2_GROUPS)
-    code = F.concat(F.substring(code, 1, 1), F.regexp_replace(from_second(code), "[AEIOU]", "A"))
+    code = bound(by_rules(code, SOUNDEX2_GROUPS), lambda x: F.concat(F.substring(x, 1, 1), F.regexp_replace(from_second(x), "[AEIOU]", "A")))
     code = by_rules(code, [*SOUNDEX2_PREFIXES, ("([^CS])H", "$1"), ("([^A])Y", "$1"), ("[ADTS]$", "")])
-    code = F.concat(F.substring(code, 1, 1), F.replace(from_second(code), F.lit("A"), F.lit("")))
+    code = bound(code, lambda x: F.concat(F.substring(x, 1, 1), F.replace(from_second(x), F.lit("A"), F.lit(""))))
     return F.substring(squeeze(code), 1, 4)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,12 +33,21 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c, f: Callable[[Column], Column]) -> Column:
+    """f of a column that it mentions more than once: what the column stands for is worked out once a row."""
+    return F.get(F.transform(F.array(col(c)), f), F.lit(0))
+
+
 def deburr(c) -> Column:
     """Latin letters with marks, and ligatures, as plain letters; combining marks go."""
-    out = F.translate(col(c), SOURCE, TARGET)
-    for a, b in WIDER.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, COMBINING, "")
+
+    def folded(x: Column) -> Column:
+        out = F.translate(x, SOURCE, TARGET)
+        for a, b in WIDER.items():
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return F.regexp_replace(out, COMBINING, "")
+
+    return bound(c, lambda x: F.when(F.octet_length(x) == F.char_length(x), x).otherwise(folded(x)))  # ASCII stays as it is
 
 
 def clean(c) -> Column:

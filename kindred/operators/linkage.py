@@ -87,14 +87,36 @@ def key_collision(items: DataFrame, keys: Column, value: str, min_size: int = 2)
 
 
 def key_collision_merged(items: DataFrame, keys: Column, id_col: str = "id", min_size: int = 2) -> DataFrame:
-    """Star clusters over rows that share a key: leaders are linked with all rows that share one of their keys.
+    """Star clusters over rows that share a key: leaders take all rows that share one of their keys.
 
-    A row before which no row shares any of its keys is the first of each of them, so edges go from and to the first
-    rows of keys at first; other rows' edges are only made where such a row has to lead.
+    A row that is the first left of each of its keys leads; rows that share a key with it are no longer free. Rounds of
+    this work on (row, key) pairs, never on pairs of rows, so a key that many rows share costs as many rows.
     """
-    keyed = items.select(F.col(id_col).cast("long").alias("src"), F.explode(F.array_distinct(keys)).alias("key")).where("key IS NOT NULL AND key <> ''")
-    edges = keyed.join(keyed.withColumnRenamed("src", "dst"), "key").where("src <> dst").select("src", "dst").distinct()
-    return star_clusters(edges, min_size)
+    scratch = Scratch(items.sparkSession)
+    keyed = items.select(F.col(id_col).cast("long").alias("id"), F.explode(F.array_distinct(keys)).alias("key")).where("key IS NOT NULL AND key <> ''").distinct()
+    keyed = scratch.freeze(keyed, "keyed")
+    # rows that share keys with min_size - 1 others at least may lead; for clusters of two, those of any shared key
+    shared = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("id", "key")
+    if min_size > 2:
+        others = shared.join(shared.withColumnRenamed("id", "other"), "key").where("id <> other").select("id", "other").distinct()
+        able = others.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_size).select("id")
+        free = shared.join(able, "id", "left_semi")
+    else:
+        free = shared
+    free, lead, k = scratch.freeze(free, "free"), None, 0
+    while not free.isEmpty():
+        first = free.groupBy("key").agg(F.min("id").alias("first"))
+        now = free.join(first, "key").groupBy("id").agg(F.min((F.col("id") == F.col("first")).cast("int")).alias("all")).where("all = 1").select("id")
+        now = scratch.freeze(now, f"lead{k}")
+        lead = now if lead is None else lead.union(now)
+        taken = shared.join(shared.join(now, "id", "left_semi").select("key").distinct(), "key", "left_semi").select("id").distinct()
+        free = scratch.freeze(free.join(taken, "id", "left_anti"), f"free{k}")
+        k += 1
+    if lead is None:
+        return placed(shared.select(F.col("id").alias("cluster_id"), "id").limit(0))
+    heads = shared.join(lead, "id", "left_semi").select(F.col("id").alias("cluster_id"), "key")
+    members = heads.join(shared, "key").select("cluster_id", "id").distinct()
+    return placed(members, F.col("id") != F.col("cluster_id"))
 
 
 def snm_pairs(items: DataFrame, orders: list[list[Column]], window: int, alike: Pairwise, id_col: str = "id") -> DataFrame:
@@ -179,6 +201,48 @@ def exact_knn(items: DataFrame, similarity: Pairwise, k: int, id_col: str = "id"
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def exact_vector_knn(items: DataFrame, vector: str, k: int, id_col: str = "id", block: int = 4096) -> DataFrame:
+    """(src, dst, similarity, rank): the k rows with the largest cosine to each, by matrix products of two blocks of
+    rows at a time. A block sends on its k best for each row only; every block still meets every other, so for tables
+    of some million rows at most, and to check approximate graphs. Vectors that are null, zero, hold null or non-finite
+    components or have another length than most take no part."""
+    import numpy as np
+    import pyarrow as pa
+
+    v = F.col(vector).cast("array<double>")
+    rows = items.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND size(v) > 0")
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
+    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if common is None:
+        return items.sparkSession.createDataFrame([], "src long, dst long, similarity double, rank int")
+    rows = rows.where(F.size("v") == common["n"])
+    blocks = max(1, -(-common["count"] // block))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        def unit(t: pa.Table):
+            x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            return t["id"].to_numpy(), x / np.sqrt((x * x).sum(1))[:, None]
+
+        src, dst, score = ([np.empty(0, t)] for t in (np.int64, np.int64, float))
+        if left.num_rows and right.num_rows:
+            (a, x), (b, y) = unit(left), unit(right)
+            for p in range(0, len(a), 512):
+                s = x[p : p + 512] @ y.T
+                s[a[p : p + 512, None] == b[None]] = -np.inf
+                # all that reach the k-th best, ties included
+                i, j = np.nonzero(s >= np.partition(s, -min(k, s.shape[1]), axis=1)[:, [-min(k, s.shape[1])]] - 1e-12)
+                ok = np.isfinite(s[i, j])
+                src.append(a[p : p + 512][i[ok]]), dst.append(b[j[ok]]), score.append(s[i[ok], j[ok]])
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "similarity": np.concatenate(score)})
+
+    left = rows.select("id", "v", own.alias("i"), every.alias("j")).groupBy("i", "j")
+    right = rows.select("id", "v", every.alias("i"), own.alias("j")).groupBy("i", "j")
+    found = left.cogroup(right).applyInArrow(best, "src long, dst long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def nn_descent(items: DataFrame, similarity: Pairwise, k: int, rho: float = 0.5, delta: float = 0.001, max_iterations: int = 20, seed: int = 0, id_col: str = "id") -> DataFrame:
     """(src, dst, similarity, rank): an approximate graph of the k most similar rows, from random neighbours on.
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred import sql_text as T
 from kindred.functions import codes, english, french, hashes, keyers, metrics, phonetics, segmenters, sequences, stemmers, text, tokens, vectors
 from kindred.functions.double_metaphone import double_metaphone_column
 from kindred.functions.sonnex import sonnex_column
@@ -71,15 +72,9 @@ def ngrams_fingerprint_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", keyers.ngrams_fingerprint("p_name", 2).alias("key"))
 
 
-@query("SELECT name, (SELECT string_agg(CASE WHEN contains(u, c) THEN c ELSE '' END, '' ORDER BY p) FROM (SELECT unnest(string_split('JKQXZVWYBFMGPDHCLNTSR', '')) AS c, unnest(range(21)) AS p)) || array_to_string(list_filter(['A','E','I','O','U'], lambda v: false), '') AS consonants FROM (SELECT DISTINCT p_name AS name, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS u FROM part)")
-def omission_consonants(spark, sf_dir):
-    """K9: the consonants of omission keys."""
-    return names(spark, sf_dir).select("name", F.regexp_replace(keyers.omission("name"), "[AEIOU]+$", "").alias("consonants"))
-
-
-@query()
+@query(T.keyers_all())
 def keyers_all(spark, sf_dir):
-    """The other keys of part names."""
+    """The other keys of part names."""
     n = names(spark, sf_dir)
     sets = F.size(keyers.name_power_set("name")).cast("long")
     return n.select("name", keyers.name_fingerprint("name").alias("fingerprint"), keyers.name_signature("name").alias("signature"), keyers.omission("name").alias("omission"), keyers.skeleton("name").alias("skeleton"), sets.alias("sets"))
@@ -88,8 +83,8 @@ def keyers_all(spark, sf_dir):
 @query("SELECT doc_id, len(n) AS n_chars, md5(n) AS digest FROM (SELECT doc_id, strip_accents(replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 'ß', 'ss')) AS n FROM documents)")
 def normalize_text(spark, sf_dir):
     """K2, K8: normalised texts."""
-    n = keyers.normalize("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.char_length(n).cast("long").alias("n_chars"), F.md5(F.encode(n, "UTF-8")).alias("digest"))
+    n = F.col("n")
+    return table(spark, sf_dir, "documents").select("doc_id", keyers.normalize("text").alias("n")).select("doc_id", F.char_length(n).cast("long").alias("n_chars"), F.md5(F.encode(n, "UTF-8")).alias("digest"))
 
 
 @query("SELECT item_id, array_to_string(list_transform(list_filter(range(1, len(text) + 1), lambda i: i = 1 OR substr(text, i, 1) <> substr(text, i - 1, 1)), lambda i: substr(text, i, 1)), '') AS squeezed FROM benchmark")
@@ -118,23 +113,76 @@ def updated_frequencies(spark, sf_dir):
     return frequencies.updated(f(table(spark, sf_dir, "documents"), "lang"), f(table(spark, sf_dir, "conversations"), "role"))
 
 
-@query("SELECT doc_id, len(string_split_regex(text, '\\r\\n|\\n\\r|\\n|\\r')) AS lines FROM documents")
-def line_counts(spark, sf_dir):
+def digest(c: Column) -> Column:
+    """What tells one array of strings from another."""
+    return F.md5(F.encode(F.array_join(c, "|"), "UTF-8"))
+
+
+@query("SELECT doc_id, len(l) AS lines, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n\\r|\\n|\\r') AS l FROM documents)")
+def line_tokens(spark, sf_dir):
     """T5."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens.lines("text")).cast("long").alias("lines"))
+    t = table(spark, sf_dir, "documents").select("doc_id", tokens.lines("text").alias("l"))
+    return t.select("doc_id", F.size("l").cast("long").alias("lines"), digest("l").alias("digest"))
 
 
-@query("SELECT conv_id, turn, len(string_split_regex(text, '(\\r\\n|\\n\\r|\\n|\\r)\\s*(\\r\\n|\\n\\r|\\n|\\r)')) AS paragraphs FROM conversations")
-def paragraph_counts(spark, sf_dir):
+@query("SELECT conv_id, turn, len(p) AS paragraphs, md5(array_to_string(p, '|')) AS digest FROM (SELECT conv_id, turn, string_split_regex(text, '(\\r\\n|\\n\\r|\\n|\\r)\\s*(\\r\\n|\\n\\r|\\n|\\r)') AS p FROM conversations)")
+def paragraph_tokens(spark, sf_dir):
     """T6."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tokens.paragraphs("text")).cast("long").alias("paragraphs"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.paragraphs("text").alias("p"))
+    return t.select("conv_id", "turn", F.size("p").cast("long").alias("paragraphs"), digest("p").alias("digest"))
 
 
 @query()
-def word_tokens(spark, sf_dir):
-    """Words of conversations."""
-    t = table(spark, sf_dir, "conversations")
-    return t.select("conv_id", "turn", F.size(tokens.words_naive("text")).cast("long").alias("naive"), F.size(tokens.words_treebank("text")).cast("long").alias("treebank"))
+def naive_words(spark, sf_dir):
+    """Words of conversations."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.words_naive("text").alias("words"))
+
+
+@query(f"SELECT conv_id, turn, len(w) AS words, md5(array_to_string(w, '|')) AS digest FROM (SELECT conv_id, turn, {T.treebank('text')} AS w FROM conversations)")
+def treebank_words(spark, sf_dir):
+    """Words of conversations."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.words_treebank("text").alias("w"))
+    return t.select("conv_id", "turn", F.size("w").cast("long").alias("words"), digest("w").alias("digest"))
+
+
+@query("SELECT doc_id, len(f) AS numbers, md5(array_to_string(f, '|')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS f FROM documents)")
+def found_numbers(spark, sf_dir):
+    """All matches of a pattern."""
+    t = table(spark, sf_dir, "documents").select("doc_id", text.findall("text", "[0-9]+").alias("f"))
+    return t.select("doc_id", F.size("f").cast("long").alias("numbers"), digest("f").alias("digest"))
+
+
+@query("SELECT item_id, len(text) AS size, md5(array_to_string(list_filter(string_split(text, ''), lambda c: c <> ''), '|')) AS digest FROM benchmark")
+def character_sequences(spark, sf_dir):
+    """Texts as arrays of characters."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", text.chars("text").alias("c"))
+    return t.select("item_id", F.size("c").cast("long").alias("size"), digest("c").alias("digest"))
+
+
+@query("SELECT doc_id, md5(translate(text, 'aeiouéèü', '123456#+')) AS digest FROM documents")
+def translated_texts(spark, sf_dir):
+    """Characters that become those in the same place of another alphabet."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(text.translation("text", "aeiouéèü", "123456#+"), "UTF-8")).alias("digest"))
+
+
+CLASSES = {"single_quotes": text.SINGLE_QUOTES, "double_quotes": text.DOUBLE_QUOTES, "hyphens": text.HYPHENS, "commas": text.COMMAS}
+
+
+@query("SELECT doc_id, " + ", ".join(f"CAST({' + '.join('len(text) - len(replace(text, chr(%d), chr(0)[1:0]))' % ord(c) for c in dict.fromkeys(v))} AS BIGINT) AS {k}" for k, v in CLASSES.items()).replace("chr(0)[1:0]", "''") + " FROM documents")
+def character_classes(spark, sf_dir):
+    """How many characters of each class a text has."""
+    held = lambda v: (F.char_length("text") - F.char_length(F.translate("text", v, ""))).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", *(held(v).alias(k) for k, v in CLASSES.items()))
+
+
+@query("SELECT item_id, s AS sentence, CAST(p AS INTEGER) AS pos, w AS word, 'T' || len(w) AS tag, CASE WHEN p = 0 THEN 'B' ELSE 'I' END AS chunk FROM (SELECT item_id, CAST(s - 1 AS INTEGER) AS s, unnest(range(len(ws))) AS p, unnest(ws) AS w FROM (SELECT item_id, s, string_split(l[s], ' ') AS ws FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS s FROM (SELECT item_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM benchmark))))")
+def chunked_words(spark, sf_dir):
+    """Sentences of the benchmark written as lines of word, tag and chunk, and parsed again."""
+    sentences = F.filter(F.transform(F.split("text", r"\."), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    line = lambda w, i: F.concat_ws(" ", w, F.concat(F.lit("T"), F.char_length(w)), F.when(i == 0, "B").otherwise("I"))
+    written = F.array_join(F.transform(sentences, lambda x: F.array_join(F.transform(F.split(x, " "), line), "\n")), "\n\n")
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parsers.conll(written)).alias("sentence", "tokens"))
+    return t.select("item_id", "sentence", F.posexplode("tokens").alias("pos", "t")).select("item_id", "sentence", "pos", "t.word", F.col("t.pos").alias("tag"), "t.chunk")
 
 
 @query("SELECT n_name, array_to_string(list_transform(range(1, len(n_name)), lambda i: substr(n_name, i, 1) || substr(n_name, i + 1, 1) || CASE WHEN i + 2 <= len(n_name) THEN '|' || substr(n_name, i, 1) || substr(n_name, i + 2, 1) ELSE '' END), '|') AS grams FROM nation")
@@ -216,11 +264,59 @@ def jaro_pairs(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("a", "b", rounded(sequences.jaro_column("a", "b")).alias("jaro"), rounded(sequences.jaro_winkler_column("a", "b")).alias("jaro_winkler"))
 
 
+@query(T.guth(PAIRS))
+def guth_pairs(spark, sf_dir):
+    """M13."""
+    return name_pairs(spark, sf_dir).select("a", "b", sequences.guth_column("a", "b").alias("guth"))
+
+
+@query(T.mra(PAIRS))
+def mra_pairs(spark, sf_dir):
+    """M26."""
+    p = name_pairs(spark, sf_dir).select("a", "b", sequences.mra_column("a", "b").alias("m")).where("m IS NOT NULL")
+    return p.select("a", "b", F.col("m.codex")[0].alias("codex_a"), F.col("m.codex")[1].alias("codex_b"), "m.minimum", "m.similarity", "m.matching")
+
+
+@query(f"{PAIRS} SELECT a, b, {T.SMITH_WATERMAN} AS smith_waterman FROM pairs")
+def smith_waterman_pairs(spark, sf_dir):
+    """M32."""
+    return name_pairs(spark, sf_dir).select("a", "b", sequences.smith_waterman_column("a", "b").alias("smith_waterman"))
+
+
 @query()
 def sequence_kernels(spark, sf_dir):
-    """M2, M2b, M13, M15, M25, M26, M30-M32."""
-    one = {k: getattr(sequences, f"{k}_column")("a", "b").alias(k) for k in ("damerau_levenshtein", "guth", "lcs", "ratcliff_obershelp", "lipns", "mlipns", "smith_waterman", "sift4", "mra")}
-    return name_pairs(spark, sf_dir).select("a", "b", *one.values(), sequences.damerau_levenshtein_limited_column(3, "a", "b").alias("limited"))
+    """M30, M31."""
+    one = {k: getattr(sequences, f"{k}_column")("a", "b").alias(k) for k in ("ratcliff_obershelp", "sift4")}
+    return name_pairs(spark, sf_dir).select("a", "b", *one.values())
+
+
+def word_pairs(spark, sf_dir) -> DataFrame:
+    """(a, b) of distinct words of all documents, in four languages with marks, that share their first and last three
+    characters; and each with the empty word."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"[\x00-\x60{-~\s]+")).alias("w")).where("w <> '' AND length(w) > 4").distinct()
+    a, b = (w.select(F.col("w").alias(c), F.substring("w", 1, 3).alias("head"), F.right("w", F.lit(3)).alias("tail")) for c in "ab")
+    return a.join(b, ["head", "tail"]).where("a < b").select("a", "b").union(w.select(F.lit("").alias("a"), F.col("w").alias("b")))
+
+
+WORD_PAIRS = "WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[\\x00-\\x60{-~\\s]+')) AS w FROM documents) WHERE len(w) > 4), pairs AS (SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON left(x.w, 3) = left(y.w, 3) AND right(x.w, 3) = right(y.w, 3) AND x.w < y.w UNION ALL SELECT '', w FROM w)"
+RUNS = "coalesce(list_max(list_transform(range(1, len(a) + 1), lambda i: coalesce(list_max(list_filter(range(1, len(a) - i + 2), lambda k: contains(b, substr(a, i, k)))), 0))), 0)"
+APART = "len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) + abs(len(a) - len(b))"
+
+
+@query(f"{WORD_PAIRS}, d AS (SELECT a, b, {APART} AS lipns, greatest(len(a), len(b)) AS n, {RUNS} AS run FROM pairs) SELECT a, b, CAST(lipns AS INTEGER) AS lipns, CAST(CASE WHEN a = '' THEN 0 WHEN n < 3 OR lipns / n <= 0.25 OR (lipns - 1) / (n - 1) <= 0.25 OR (lipns - 2) / (n - 2) <= 0.25 THEN 1 ELSE 0 END AS INTEGER) AS mlipns, round(run / n, 6) AS lcs FROM d")
+def word_distances(spark, sf_dir):
+    """M15, M25 on words with marks, and empty ones."""
+    k = sequences
+    p = word_pairs(spark, sf_dir)
+    return p.select("a", "b", k.lipns_column("a", "b").alias("lipns"), k.mlipns_column("a", "b").alias("mlipns"), rounded(k.lcs_column("a", "b")).alias("lcs"))
+
+
+@query(f"{PAIRS}, d AS (SELECT a, b, {T.ALIGNMENT} AS d FROM pairs) SELECT a, b, CAST(d AS INTEGER) AS distance, CAST(CASE WHEN d > 3 THEN -1 ELSE d END AS INTEGER) AS limited FROM d")
+def damerau_levenshtein_pairs(spark, sf_dir):
+    """M2, M2b; -1 stands for infinity."""
+    lim = sequences.damerau_levenshtein_limited_column(3, "a", "b")
+    p = name_pairs(spark, sf_dir).select("a", "b", sequences.damerau_levenshtein_column("a", "b").alias("distance"), lim.alias("l"))
+    return p.select("a", "b", "distance", F.when(F.col("l") == float("inf"), -1).otherwise(F.col("l").cast("int")).cast("int").alias("limited"))
 
 
 @query(f"{PAIRS}, t AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM pairs) SELECT a, b, round(list_avg(list_transform(x, lambda u: CASE WHEN list_contains(y, u) THEN 1.0 ELSE 0.0 END)), 6) AS monge_elkan FROM t")
@@ -268,7 +364,7 @@ def vector_arithmetic(spark, sf_dir):
 # --- hashes ----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(T.CRC32)
 def crc32_names(spark, sf_dir):
     """H1."""
     return names(spark, sf_dir).select("name", hashes.crc32("name").alias("crc32"))
@@ -314,10 +410,12 @@ def lsh_bins(spark, sf_dir):
 
 
 def english_words(spark, sf_dir) -> DataFrame:
-    """The distinct words of part names, nations and English conversations, in lower case."""
+    """The distinct words of part names, nations and English conversations, in lower case, dealt over all cores: few
+    bytes, but much work each."""
     sources = [("part", "p_name"), ("nation", "n_name"), ("conversations", "text")]
     each = [table(spark, sf_dir, t).select(F.explode(F.split(F.lower(c), "[^a-z]+")).alias("word")) for t, c in sources]
-    return each[0].union(each[1]).union(each[2]).where("word <> ''").distinct()
+    words = each[0].union(each[1]).union(each[2]).where("word <> ''").distinct()
+    return words.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 WORDS = "WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(p_name), '[^a-z]+')) AS word FROM part UNION ALL SELECT unnest(string_split_regex(lower(n_name), '[^a-z]+')) FROM nation UNION ALL SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) FROM conversations) WHERE word <> ''), u AS (SELECT word, upper(word) AS u FROM w)"
@@ -343,9 +441,15 @@ def statcan_codes(spark, sf_dir):
 
 
 @query()
+def fonem_codes(spark, sf_dir):
+    """P17."""
+    return english_words(spark, sf_dir).select("word", phonetics.fonem("word").alias("fonem"))
+
+
+@query(T.phonetic_rules(WORDS))
 def phonetic_rules(spark, sf_dir):
-    """Codes that are chains of rules."""
-    kinds = ["caverphone", "metaphone", "nysiis", "soundex", "onca", "mra", "fonem", "french_soundex", "soundex2", "french_phonex", "phonem"]
+    """Codes that are chains of rules."""
+    kinds = ["caverphone", "metaphone", "nysiis", "soundex", "onca", "mra", "french_soundex", "soundex2", "french_phonex", "phonem"]
     return english_words(spark, sf_dir).select("word", *(getattr(phonetics, k)("word").alias(k) for k in kinds), phonetics.caverphone("word", revisited=True).alias("caverphone2"), phonetics.nysiis("word", refined=True).alias("nysiis_refined"))
 
 
@@ -376,10 +480,52 @@ def s_stems(spark, sf_dir):
     return english_words(spark, sf_dir).select("word", stemmers.s_stemmer("word").alias("stem"))
 
 
+@query(T.porter(WORDS))
+def porter_stems(spark, sf_dir):
+    """ST1."""
+    return english_words(spark, sf_dir).select("word", stemmers.porter_column("word").alias("porter"))
+
+
+@query(T.schinke(WORDS))
+def schinke_stems(spark, sf_dir):
+    """ST12."""
+    return english_words(spark, sf_dir).select("word", stemmers.schinke_column("word").alias("s")).select("word", "s.noun", "s.verb")
+
+
+@query(f"{WORDS} SELECT word, {T.SPANISH_UNINE} AS stem FROM w")
+def spanish_unine_stems(spark, sf_dir):
+    """ST13."""
+    return english_words(spark, sf_dir).select("word", stemmers.spanish_unine_column("word").alias("stem"))
+
+
+def french_words(spark, sf_dir) -> DataFrame:
+    words = table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.explode(F.split(F.lower("text"), r"[^a-zà-öø-ÿœ]+")).alias("word"))
+    return words.where("word <> ''").distinct()
+
+
+@query(T.eda("WITH u AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^a-zà-öø-ÿœ]+')) AS word FROM documents WHERE lang = 'fr') WHERE word <> '')"))
+def eda_stems(spark, sf_dir):
+    """ST8: the words of French documents."""
+    return french_words(spark, sf_dir).select("word", stemmers.eda_column("word").alias("stem"))
+
+
+@query(f"{WORDS} SELECT word, {T.spanish_singular('word')} AS singular FROM w")
+def spanish_singulars(spark, sf_dir):
+    """I1."""
+    return english_words(spark, sf_dir).select("word", stemmers.spanish_singular_column("word").alias("singular"))
+
+
+@query()
+def french_stems(spark, sf_dir):
+    """ST9, ST10 of the words of French documents."""
+    kinds = {"porter": french.french_porter_column, "unine": french.unine_complex_column, "unine_minimal": french.unine_minimal_column}
+    return french_words(spark, sf_dir).select("word", *(f("word").alias(k) for k, f in kinds.items()))
+
+
 @query()
 def stems(spark, sf_dir):
-    """ST1, ST2, ST8-ST13, I1."""
-    kinds = ["porter", "lancaster", "eda", "caumanns", "schinke", "spanish_unine", "spanish_singular"]
+    """ST2, ST11."""
+    kinds = ["lancaster", "caumanns"]
     return english_words(spark, sf_dir).select("word", *(getattr(stemmers, f"{k}_column")("word").alias(k) for k in kinds))
 
 
@@ -455,42 +601,77 @@ def metric_range_pairs(spark, sf_dir):
     return linkage.metric_range_pairs(items(spark, sf_dir), edit, 4)
 
 
-@query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT x.vec_id AS src, y.vec_id AS dst, list_cosine_similarity(x.v, y.v) AS s FROM e x JOIN e y ON x.vec_id <> y.vec_id) SELECT src, CAST(rank AS INTEGER) AS rank, round(s, 6) AS similarity FROM (SELECT src, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM p) WHERE rank <= 3")
+@query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT x.vec_id AS src, y.vec_id AS dst, list_cosine_similarity(x.v, y.v) AS s FROM e x JOIN e y ON x.vec_id <> y.vec_id) SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(s, 6) AS similarity FROM (SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM p) WHERE rank <= 3")
 def exact_nearest(spark, sf_dir):
     """The exact graph of the three nearest vectors."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.doubles("embedding").alias("v"))
-    knn = linkage.exact_knn(e, lambda a, b: vectors.cosine(a["v"], b["v"]), 3)
-    return knn.select("src", "rank", F.round("similarity", 6).alias("similarity"))
+    knn = linkage.exact_vector_knn(table(spark, sf_dir, "embeddings"), "embedding", 3, "vec_id")
+    return knn.select("src", "rank", "dst", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def nn_descent_graph(spark, sf_dir):
     """The approximate graph of names."""
-    return linkage.nn_descent(items(spark, sf_dir), lambda a, b: metrics.jaccard(a["name"], b["name"]), 5, max_iterations=4)
+    return linkage.nn_descent(items(spark, sf_dir), lambda a, b: metrics.jaccard(a["name"], b["name"]), 5)
 
 
-@query()
-def star_clusters(spark, sf_dir):
-    """Clusters of names."""
+@query("SELECT TRUE AS enough")
+def nn_descent_recall(spark, sf_dir):
+    """Whether the approximate graph of names has nine tenths of the similarity that the exact one has."""
+    near = lambda a, b: metrics.jaccard(a["name"], b["name"])
     n = items(spark, sf_dir)
-    kinds = {"naive": linkage.naive(n, CLOSE), "blocking": linkage.blocking(n, F.split("name", " "), CLOSE), "sorted": linkage.sorted_neighborhood(n, [[F.asc("name")]], 3, CLOSE), "range": linkage.vp_tree(n, edit, 4)}
-    out = [df.select(F.lit(k).alias("kind"), "cluster_id", "pos", "id") for k, df in kinds.items()]
-    return out[0].union(out[1]).union(out[2]).union(out[3])
+    total = lambda g: g.agg(F.sum("similarity").alias("s"))
+    found, exact = total(linkage.nn_descent(n, near, 5)), total(linkage.exact_knn(n, near, 5))
+    return found.crossJoin(exact.withColumnRenamed("s", "most")).select((F.col("s") >= 0.9 * F.col("most")).alias("enough"))  # one row each
 
 
-@query()
+EDGES = f"{ITEMS}, e AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.id < y.id AND levenshtein(x.name, y.name) <= 4)"
+
+
+@query(T.stars(EDGES))
+def naive_clusters(spark, sf_dir):
+    """Star clusters of names."""
+    return linkage.naive(items(spark, sf_dir), CLOSE)
+
+
+@query(T.stars(EDGES))
+def range_clusters(spark, sf_dir):
+    """Star clusters of names by the range join."""
+    return linkage.vp_tree(items(spark, sf_dir), edit, 4)
+
+
+@query(T.stars(f"{ITEMS}, k AS (SELECT DISTINCT id, name, unnest(string_split(name, ' ')) AS key FROM n), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key AND x.id < y.id AND levenshtein(x.name, y.name) <= 4)"))
+def blocking_clusters(spark, sf_dir):
+    """Star clusters of names in blocks of a word."""
+    return linkage.blocking(items(spark, sf_dir), F.split("name", " "), CLOSE)
+
+
+@query(T.stars(f"{ITEMS}, o AS (SELECT id, name, row_number() OVER (ORDER BY name, id) AS at FROM n), e AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM o x JOIN o y ON y.at BETWEEN x.at + 1 AND x.at + 3 WHERE levenshtein(x.name, y.name) <= 4)"))
+def sorted_clusters(spark, sf_dir):
+    """Star clusters of names next to each other."""
+    return linkage.sorted_neighborhood(items(spark, sf_dir), [[F.asc("name")]], 3, CLOSE)
+
+
+@query(T.stars(f"{ITEMS}, k AS (SELECT DISTINCT id, {T.soundex('v')} AS key FROM (SELECT id, unnest(string_split(upper(name), ' ')) AS v FROM n)), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key AND x.id < y.id)"))
 def key_collision_merged(spark, sf_dir):
     """Names that share a sound of a word, merged."""
     n = items(spark, sf_dir)
     return linkage.key_collision_merged(n, F.transform(F.split("name", " "), lambda w: phonetics.soundex(w)))
 
 
-@query()
-def canopy_and_leader(spark, sf_dir):
-    """C3, C4."""
-    n = items(spark, sf_dir)
-    a, b = linkage.canopy(n, edit, 6, 3), linkage.leader(n, edit, 5)
-    return a.select(F.lit("canopy").alias("kind"), "cluster_id", "pos", "id").union(b.select(F.lit("leader").alias("kind"), "cluster_id", "pos", "id"))
+FOLD = "list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(ids, lambda i: [i])), lambda acc, i: CASE WHEN len(list_filter(acc, lambda h: list_contains(pairs, h * 10000000 + i[1]))) > 0 THEN acc ELSE list_concat(acc, i) END)"
+PLACES = "SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY id) - 1 AS INTEGER) AS pos, id FROM m"
+
+
+@query(f"{ITEMS}, e AS (SELECT x.id AS a, y.id AS b, levenshtein(x.name, y.name) AS d FROM n x JOIN n y ON x.id < y.id), l AS (SELECT unnest({FOLD}) AS id FROM (SELECT list(id ORDER BY id) AS ids FROM n), (SELECT list(a * 10000000 + b) AS pairs FROM e WHERE d <= 3)), gone AS (SELECT id, min(h) AS h FROM (SELECT id, id AS h FROM l UNION ALL SELECT b, a FROM e JOIN l ON l.id = a WHERE d <= 3) GROUP BY id), m AS (SELECT id AS cluster_id, id FROM l UNION ALL SELECT a, b FROM e JOIN l ON l.id = a LEFT JOIN gone ON gone.id = b WHERE d <= 6 AND (h IS NULL OR h >= a)) {PLACES}")
+def canopy_clusters(spark, sf_dir):
+    """C3."""
+    return linkage.canopy(items(spark, sf_dir), edit, 6, 3)
+
+
+@query(f"{ITEMS}, e AS (SELECT x.id AS a, y.id AS b, levenshtein(x.name, y.name) AS d FROM n x JOIN n y ON x.id < y.id), l AS (SELECT unnest({FOLD}) AS id FROM (SELECT list(id ORDER BY id) AS ids FROM n), (SELECT list(a * 10000000 + b) AS pairs FROM e WHERE d <= 5)), m AS (SELECT id AS cluster_id, id FROM l UNION ALL SELECT arg_min(a, d * 10000000 + a), b FROM e JOIN l ON l.id = a WHERE d <= 5 GROUP BY b) {PLACES}")
+def leader_clusters(spark, sf_dir):
+    """C4."""
+    return linkage.leader(items(spark, sf_dir), edit, 5)
 
 
 # --- keywords and markup -----------------------------------------------------------------------------------------------
@@ -499,7 +680,10 @@ def canopy_and_leader(spark, sf_dir):
 STOPS = ["the", "of", "and", "to", "in", "a", "is", "that", "it", "on", "for", "be", "by", "was", "with", "as", "at", "re"]
 
 
-@query("WITH t AS (SELECT conv_id * 1000 + turn AS doc, text FROM conversations), s AS (SELECT doc, i AS sent, string_split_regex(l[i], ' +') AS w FROM (SELECT doc, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc, string_split(lower(text), chr(10)) AS l FROM t))), w AS (SELECT doc, sent, p, w[p] AS word FROM (SELECT doc, sent, w, unnest(range(1, len(w) + 1)) AS p FROM s)), m AS (SELECT *, word IN ('" + "','".join(STOPS) + "') OR regexp_matches(word, '^[^A-Za-z0-9_\\s]+$') AS stop FROM w), r AS (SELECT *, sum(CAST(stop AS INTEGER)) OVER (PARTITION BY doc, sent ORDER BY p) AS run, sum(CAST(stop AS INTEGER)) OVER (PARTITION BY doc, sent) AS stops FROM m), c AS (SELECT doc, sent, run, word, count(*) OVER (PARTITION BY doc, sent, run) AS size FROM r WHERE NOT stop AND run < stops), f AS (SELECT doc, word, count(*) AS frequency FROM m WHERE NOT stop GROUP BY 1, 2), d AS (SELECT doc, word, CAST(sum(size - 1) AS BIGINT) AS degree FROM c GROUP BY 1, 2) SELECT f.doc, f.word, frequency, coalesce(degree, 0) AS degree FROM f LEFT JOIN d ON f.doc = d.doc AND f.word = d.word")
+RAKE = "WITH t AS (SELECT conv_id * 1000 + turn AS doc, text FROM conversations), s AS (SELECT doc, i AS sent, string_split_regex(l[i], ' +') AS w FROM (SELECT doc, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc, string_split(lower(text), chr(10)) AS l FROM t))), w AS (SELECT doc, sent, p, w[p] AS word FROM (SELECT doc, sent, w, unnest(range(1, len(w) + 1)) AS p FROM s)), m AS (SELECT *, word IN ('" + "','".join(STOPS) + "') OR regexp_matches(word, '^[^A-Za-z0-9_\\s]+$') AS stop FROM w), r AS (SELECT *, sum(CAST(stop AS INTEGER)) OVER (PARTITION BY doc, sent ORDER BY p) AS run, sum(CAST(stop AS INTEGER)) OVER (PARTITION BY doc, sent) AS stops FROM m), c AS (SELECT doc, sent, run, word, count(*) OVER (PARTITION BY doc, sent, run) AS size FROM r WHERE NOT stop AND run < stops), f AS (SELECT doc, word, count(*) AS frequency FROM m WHERE NOT stop GROUP BY 1, 2), d AS (SELECT doc, word, CAST(sum(size - 1) AS BIGINT) AS degree FROM c GROUP BY 1, 2)"
+
+
+@query(f"{RAKE} SELECT f.doc, f.word, frequency, coalesce(degree, 0) AS degree FROM f LEFT JOIN d ON f.doc = d.doc AND f.word = d.word")
 def rake_word_scores(spark, sf_dir):
     """K1: words of turns with their frequency and degree."""
     words = rake.rake_words(*rake_input(spark, sf_dir))
@@ -511,10 +695,18 @@ def rake_input(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return turns, spark.createDataFrame([(w,) for w in STOPS], "word string")
 
 
-@query()
+KEYWORDS = (
+    "ph AS (SELECT DISTINCT doc, words FROM (SELECT doc, sent, run, list(word ORDER BY p) AS words FROM (SELECT doc, sent, run, word, p FROM r WHERE NOT stop AND run < stops) GROUP BY ALL)), "
+    "sc AS (SELECT f.doc, f.word, coalesce(degree, 0) / frequency AS s FROM f LEFT JOIN d ON f.doc = d.doc AND f.word = d.word), "
+    "pw AS (SELECT doc, words, unnest(words) AS word FROM ph), v AS (SELECT pw.doc, pw.words, sum(s) AS score FROM pw JOIN sc ON pw.doc = sc.doc AND pw.word = sc.word GROUP BY ALL), "
+    "k AS (SELECT doc, words, score, row_number() OVER (PARTITION BY doc ORDER BY round(score, 6) DESC, array_to_string(words, ' ')) AS rank, count(*) OVER (PARTITION BY doc) AS n FROM v)"
+)
+
+
+@query(f"{RAKE}, {KEYWORDS} SELECT doc, CAST(rank AS INTEGER) AS rank, array_to_string(words, ' ') AS keyword, round(score, 6) AS score FROM k WHERE rank <= n // 3")
 def rake_keywords(spark, sf_dir):
     """K1."""
-    return rake.rake(*rake_input(spark, sf_dir))
+    return rake.rake(*rake_input(spark, sf_dir)).select("doc", "rank", F.array_join("keyword", " ").alias("keyword"), F.round("score", 6).alias("score"))
 
 
 @query()
