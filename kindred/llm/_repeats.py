@@ -21,6 +21,7 @@ from ._shared import Scratch, partitions, text_bytes
 U = np.uint64
 BLOCK_BYTES = 1 << 20
 RANGE_BYTES = 16 << 20
+TASK_BYTES = 64 << 20  # text or keys for each bucket of blocks and each task that answers, where shuffle partitions would have more
 ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 TOP = U(0xFFFFFFFFFFFFFFFF)
 
@@ -180,6 +181,11 @@ def asking(finder: Finder, level: int, n: list[int]):
     return first, later
 
 
+def added(out: DataFrame, columns: list[str], more: dict[str, str]) -> DataFrame:
+    """The columns and more (name: source), which replace those of their names."""
+    return out.select(*(out[f"`{c}`"] for c in columns if c not in more), *(F.col(v).alias(k) for k, v in more.items()))
+
+
 def without_repeats(docs: DataFrame, finder: Finder, schema: str, id_col: str, text_col: str) -> DataFrame:
     """docs with the columns in schema (a DDL list) that finder.finish() gives for each row, one of them kept binary."""
     spark = docs.sparkSession
@@ -187,11 +193,12 @@ def without_repeats(docs: DataFrame, finder: Finder, schema: str, id_col: str, t
     size = text_bytes(docs, text_col)
     blocks = max(partitions(spark), -(-size // BLOCK_BYTES))
     # each level sends at most a key of 16 bytes for symbol_bytes of text
-    n = [max(2 * partitions(spark), int(size / finder.symbol_bytes * 16 / RANGE_BYTES))] * finder.levels
-    table = scratch.bucketed(
-        docs.select("*", F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("__block"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text")),
-        "__block", partitions(spark),
-    )
+    sent_bytes = int(size / finder.symbol_bytes * 16)
+    n = [max(2 * partitions(spark), sent_bytes // RANGE_BYTES)] * finder.levels
+    buckets, tasks = (max(partitions(spark), -(-total // TASK_BYTES)) for total in (size, sent_bytes))
+    # equal rows of different input partitions go to different blocks
+    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(blocks))
+    table = scratch.bucketed(docs.select("*", block.alias("__block"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__block", buckets)
     own = table.select("__block", "__id", "__text")
     said = None
     for level in range(finder.levels):
@@ -200,7 +207,7 @@ def without_repeats(docs: DataFrame, finder: Finder, schema: str, id_col: str, t
             sent = own.groupBy("__block").applyInArrow(asked[0], SENT)
         else:
             sent = own.groupBy("__block").cogroup(said.groupBy("block")).applyInArrow(asked[1], SENT)
-        got = scratch.freeze(sent.groupBy("range").applyInArrow(answer(level, level in finder.flag_levels), ANSWER), f"answers{level}")
+        got = scratch.freeze(sent.repartition(tasks, "range").groupBy("range").applyInArrow(answer(level, level in finder.flag_levels), ANSWER), f"answers{level}")
         said = got if said is None else said.unionByName(got)
 
     def last(t: pa.Table, answers: pa.Table) -> pa.Table:

@@ -194,21 +194,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Addi
     some = some.groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").cast("double").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     # the join's small side has at most rows rows of two numbers
     table = docs.join(F.broadcast(some), docs["doc_id"] == F.col("__id")).select("y", "text", "__id")
-    got = table.select("y", "text").mapInArrow(measured, "y double, x array<double>").orderBy("y", "x").toArrow()
+    # ids that repeat may join more than rows documents: of those too the smallest hashes stay
+    table = table.select("y", "text").mapInArrow(measured, "y double, x array<double>").orderBy(F.xxhash64("x"), "y", "x").limit(rows)
+    got = table.orderBy("y", "x").toArrow()
     y = got["y"].to_numpy()
     return fit(np.array(got["x"].to_pylist()).reshape(len(y), len(FEATURES)), y)
 
 
 def score(docs: DataFrame, model: AdditiveModel, column: str = "score", text_col: str = "text") -> DataFrame:
-    """docs with the model's score added."""
+    """docs with the model's score added; it replaces a column of its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = pa.array(model.score(features(texts_of(batch.column(text_col)))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), values], [*names, column])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, `{column}` double")
+    fields = [f for f in docs.schema if f.name != column]
+    names, kept = [f.name for f in fields], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    return docs.mapInArrow(run, f"{kept}`{column}` double")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -217,8 +220,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_
     Each feature of a whole text (FEATURES: shares of kinds of characters, of distinct and repeated words, sizes) is put
     into a bin of a lookup table; tables of features and of chosen pairs of features are boosted in cycles by trees of
     depth two, and a score adds up the looked-up values. Ids, language and source are not looked at. Null text: scored
-    as empty; repeated rows get equal scores; an empty table gives an empty result. docs must not have the three added
-    columns yet; other columns pass through.
+    as empty; repeated rows get equal scores; an empty table gives an empty result. Other columns pass through; added
+    columns replace those of their names.
     """
     out = score(docs, train(docs.select("doc_id", "text"), labels, rows))
     return out.withColumns({"held_out": held_out("doc_id"), "predicted": (F.col("score") >= 0.5).cast("int")})

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import U, added_up, anchors, mix, name, without_repeats
+from ._repeats import U, added, added_up, anchors, mix, name, without_repeats
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -129,14 +129,14 @@ def substring_dedup(docs: DataFrame, min_words: int = 35, id_col: str = "doc_id"
 
     Returns docs with {prefix}n_words, {prefix}n_removed and {prefix}kept_text (words joined by one space) added. Null
     text: no words, empty kept text. Fewer words than min_words: kept. Repeated rows are separate documents that repeat
-    each other. An empty table gives an empty result. Other columns pass through, whatever their names, as long as they
-    do not start with two underscores. min_words must be 4 at least. A block is one task's work, so memory follows the
+    each other. An empty table gives an empty result. Other columns pass through, as long as they do not start with two
+    underscores; added columns replace those of their names. min_words must be 4 at least. A block is one task's work, so memory follows the
     longest single text.
     """
     if min_words < 4:
         raise ValueError("min_words must be 4 at least")
     out = without_repeats(docs, WordWindows(min_words), "__n long, __removed long, __kept string", id_col, text_col)
-    return out.select(*(out[f"`{c}`"] for c in docs.columns), F.col("__n").alias(f"{prefix}n_words"), F.col("__removed").alias(f"{prefix}n_removed"), F.col("__kept").alias(f"{prefix}kept_text"))
+    return added(out, docs.columns, {f"{prefix}n_words": "__n", f"{prefix}n_removed": "__removed", f"{prefix}kept_text": "__kept"})
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import ODD, TOP, U, added_up, name, slide, without_repeats
+from ._repeats import ODD, TOP, U, added, added_up, name, slide, without_repeats
 
 GRAM = 8  # bytes of the initial buckets
 TILE = 1 << 15  # suffixes at a time, so that steps stay in the processor's cache
@@ -139,14 +139,14 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id",
     Returns docs with {prefix}n_bytes, {prefix}n_removed, {prefix}n_spans (maximal removed runs) and {prefix}kept_bytes
     (binary: a cut may fall inside a character) added. Null text: empty. Texts shorter than min_bytes stay. Repeated
     rows are separate documents that repeat each other. An empty table gives an empty result. Other columns pass
-    through, as long as they do not start with two underscores. min_bytes must be 16 at least. A block is one task's
+    through, as long as they do not start with two underscores; added columns replace those of their names. min_bytes must be 16 at least. A block is one task's
     work, so memory follows the longest single text.
     """
     if min_bytes < 2 * GRAM:
         raise ValueError(f"min_bytes must be {2 * GRAM} at least")
     out = without_repeats(docs, ByteSuffixes(min_bytes), "__n long, __removed long, __spans long, __kept binary", id_col, text_col)
-    added = {"__n": "n_bytes", "__removed": "n_removed", "__spans": "n_spans", "__kept": "kept_bytes"}
-    return out.select(*(out[f"`{c}`"] for c in docs.columns), *(F.col(a).alias(prefix + b) for a, b in added.items()))
+    names = {"n_bytes": "__n", "n_removed": "__removed", "n_spans": "__spans", "kept_bytes": "__kept"}
+    return added(out, docs.columns, {prefix + k: v for k, v in names.items()})
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def url_filters(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
     Returns pages with {prefix}host, path, rule (as written, null if none) and verdict added. Null urls and urls without
     :// have an empty host and path and get the default. Ports and user names count as part of the host. Repeated rows
     and urls are judged alike; equal hosts are dealt over many ranges. An empty table or list of rules is fine. Other
-    columns pass through, as long as they do not start with two underscores.
+    columns pass through, as long as they do not start with two underscores; added columns replace those of their names.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules")
@@ -103,10 +103,9 @@ def url_filters(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
     active = F.coalesce("__active", "__carried")
     best = F.get(F.filter(active, lambda r: F.startswith(F.col("__path"), r["path"])), F.lit(0))
     found = found.withColumn("__best", best)
-    return found.select(
-        *(found[f"`{c}`"] for c in pages.columns), F.col("__host").alias(f"{prefix}host"), F.col("__path").alias(f"{prefix}path"),
-        F.col("__best.rule").alias(f"{prefix}rule"), F.coalesce("__best.verdict", F.lit(default)).alias(f"{prefix}verdict"),
-    )
+    out = {"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__best.rule"), "verdict": F.coalesce("__best.verdict", F.lit(default))}
+    own = [c for c in pages.columns if c.removeprefix(prefix) not in out or not c.startswith(prefix)]
+    return found.select(*(found[f"`{c}`"] for c in own), *(c.alias(prefix + k) for k, c in out.items()))
 
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]

@@ -168,6 +168,27 @@ def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], H.SCHEMA)).count() == 0
 
 
+def test_added_columns_replace_those_of_their_names(spark):
+    from kindred.llm.quality import quality_classifier
+    from kindred.llm.url_filters import RULES, url_filters
+
+    docs = spark.createDataFrame([(1, "a b", "old", "old", 7.0), (2, None, "old", "old", 7.0)], "doc_id long, text string, n_words string, n_bytes string, score double")
+    assert substring_dedup(docs).orderBy("doc_id").select("n_words").collect() == [(2,), (0,)]
+    assert suffix_dedup(docs).orderBy("doc_id").select("n_bytes").collect() == [(3,), (0,)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality_classifier(docs, labels).collect()} != {7.0}
+    pages = spark.createDataFrame([(1, "http://a.net/", "old", "old")], "page_id long, url string, host string, verdict string")
+    assert url_filters(pages, RULES).select("host", "verdict").collect() == [("a.net", "block")]
+
+
+def test_equal_rows_in_many_partitions(spark):
+    """Rows that repeat row for row are dealt over blocks, and still repeat each other."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text)] * 200 + [(2, "short one")], "doc_id long, text string").repartition(8)
+    got = substring_dedup(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 40, 200), (2, 0, 1)]
+
+
 def test_bad_parameters(spark):
     docs = spark.createDataFrame([], H.SCHEMA)
     with pytest.raises(ValueError):
