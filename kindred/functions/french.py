@@ -22,12 +22,14 @@ STEP_2A = "issaIent issantes iraIent issante issants issions irions issais issai
 STEP_2B = "eraIent assions erions assent assiez èrent erais erait eriez erons eront aIent antes asses ions erai eras erez âmes âtes ante ants asse ées era iez ais ait ant ée és er ez ât ai as é a".split()
 DROPS_E = set("assions assent assiez aIent antes asses âmes âtes ante ants asse ais ait ant ât ai as a".split())
 STEP_4 = "ière Ière ion ier Ier e ë".split()
-# Fixed values of the complex UniNE stemmer: a word longer than this, with this ending, gets this ending instead; + at the end: and goes on.
-UNINE = (
-    "9 issement ir;8 issant ir;6 ivement if;6 ement e;11 ficatrice fier;10 ficateur fier;9 catrice quer;8 cateur quer;8 atrice er;7 ateur er;6 trice teur+;5 ième -;7 teuse ter;6 teur ter;5 euse eu;8 ère er;7 ive if;"
-    "4 folle fou;4 molle mou;9 nnelle n;9 nnel n;4 ète et+;8 ique -+;8 esse e;7 inage in;9 ualisation uel;9 isation -;9 isateur -;8 ation -;8 ition -"
-)
-UNINE_RULES = [(int(n), end, instead.rstrip("+").replace("-", ""), instead.endswith("+")) for n, end, instead in (r.split() for r in UNINE.split(";"))]
+# Fixed values of the complex UniNE stemmer: a word longer than this, with this ending, gets this ending instead, and whether it goes on.
+UNINE_RULES = [
+    (9, "issement", "ir", False), (8, "issant", "ir", False), (6, "ivement", "if", False), (6, "ement", "e", False), (11, "ficatrice", "fier", False), (10, "ficateur", "fier", False),
+    (9, "catrice", "quer", False), (8, "cateur", "quer", False), (8, "atrice", "er", False), (7, "ateur", "er", False), (6, "trice", "teur", True), (5, "ième", "", False), (7, "teuse", "ter", False),
+    (6, "teur", "ter", False), (5, "euse", "eu", False), (8, "ère", "er", False), (7, "ive", "if", False), (4, "folle", "fou", False), (4, "molle", "mou", False), (9, "nnelle", "n", False),
+    (9, "nnel", "n", False), (4, "ète", "et", True), (8, "ique", "", True), (8, "esse", "e", False), (7, "inage", "in", False), (9, "ualisation", "uel", False), (9, "isation", "", False),
+    (9, "isateur", "", False), (8, "ation", "", False), (8, "ition", "", False),
+]
 UNINE_FOLD = str.maketrans("àáâôèéêùûîç", "aaaoeeeuuic")
 
 

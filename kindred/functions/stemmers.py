@@ -13,16 +13,131 @@ from .text import col, deburr_text
 from .udfs import kernel_column
 
 # Fixed values of the Porter stemmer: endings and what stands for them.
-PORTER_2 = dict(p.split(":") for p in "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log".split())
-PORTER_3 = dict(p.split(":") for p in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split())
+PORTER_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate",
+    "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
+}
+PORTER_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 PORTER_4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize".split()
-# Fixed values of the Lancaster stemmer: ending>replacement and what follows: = for whole words only, > go on, . nothing, ! keep the word.
-LANCASTER = """
-ia>= a>= bb>b. ytic>ys. ic>> nc>nt> dd>d. ied>y> ceed>cess. eed>ee. ed>> hood>> e>> lief>liev. if>> ing>> iag>y. ag>> gg>g. th>= guish>ct. ish>> i>= i>y> ij>id. fuj>fus. uj>ud. oj>od. hej>her. verj>vert. misj>mit.
-nj>nd. j>s. ifiabl>. iabl>y. abl>> ibl>. bil>bl> cl>c. iful>y. ful>> ul>. ial>> ual>> al>> ll>l. ium>. um>= ism>> mm>m. sion>j> xion>ct. ion>> ian>> an>> een>! en>> nn>n. ship>> pp>p. er>> ear>! ar>. ior>> or>>
-ur>> rr>r. tr>t> ier>y> ies>y> sis>s. is>> ness>> ss>! ous>> us>= s>> s>. plicat>ply. at>> ment>> ent>> ant>> ript>rib. orpt>orb. duct>duc. sumpt>sum. cept>ceiv. olut>olv. sist>! ist>> tt>t. iqu>. ogu>og. siv>j>
-eiv>! iv>> bly>bl> ily>y> ply>! ly>> ogy>og. phy>ph. omy>om. opy>op. ity>> ety>> lty>l. istry>. ary>> ory>> ify>. ncy>nt> acy>> iz>> yz>ys.
-"""
+# Fixed values of the Lancaster stemmer: ending, what stands for it, and then: "whole" for whole words only, "on" to go on, "stop", or "keep" the word.
+LANCASTER = [
+    ("ia", "", "whole"),
+    ("a", "", "whole"),
+    ("bb", "b", "stop"),
+    ("ytic", "ys", "stop"),
+    ("ic", "", "on"),
+    ("nc", "nt", "on"),
+    ("dd", "d", "stop"),
+    ("ied", "y", "on"),
+    ("ceed", "cess", "stop"),
+    ("eed", "ee", "stop"),
+    ("ed", "", "on"),
+    ("hood", "", "on"),
+    ("e", "", "on"),
+    ("lief", "liev", "stop"),
+    ("if", "", "on"),
+    ("ing", "", "on"),
+    ("iag", "y", "stop"),
+    ("ag", "", "on"),
+    ("gg", "g", "stop"),
+    ("th", "", "whole"),
+    ("guish", "ct", "stop"),
+    ("ish", "", "on"),
+    ("i", "", "whole"),
+    ("i", "y", "on"),
+    ("ij", "id", "stop"),
+    ("fuj", "fus", "stop"),
+    ("uj", "ud", "stop"),
+    ("oj", "od", "stop"),
+    ("hej", "her", "stop"),
+    ("verj", "vert", "stop"),
+    ("misj", "mit", "stop"),
+    ("nj", "nd", "stop"),
+    ("j", "s", "stop"),
+    ("ifiabl", "", "stop"),
+    ("iabl", "y", "stop"),
+    ("abl", "", "on"),
+    ("ibl", "", "stop"),
+    ("bil", "bl", "on"),
+    ("cl", "c", "stop"),
+    ("iful", "y", "stop"),
+    ("ful", "", "on"),
+    ("ul", "", "stop"),
+    ("ial", "", "on"),
+    ("ual", "", "on"),
+    ("al", "", "on"),
+    ("ll", "l", "stop"),
+    ("ium", "", "stop"),
+    ("um", "", "whole"),
+    ("ism", "", "on"),
+    ("mm", "m", "stop"),
+    ("sion", "j", "on"),
+    ("xion", "ct", "stop"),
+    ("ion", "", "on"),
+    ("ian", "", "on"),
+    ("an", "", "on"),
+    ("een", "", "keep"),
+    ("en", "", "on"),
+    ("nn", "n", "stop"),
+    ("ship", "", "on"),
+    ("pp", "p", "stop"),
+    ("er", "", "on"),
+    ("ear", "", "keep"),
+    ("ar", "", "stop"),
+    ("ior", "", "on"),
+    ("or", "", "on"),
+    ("ur", "", "on"),
+    ("rr", "r", "stop"),
+    ("tr", "t", "on"),
+    ("ier", "y", "on"),
+    ("ies", "y", "on"),
+    ("sis", "s", "stop"),
+    ("is", "", "on"),
+    ("ness", "", "on"),
+    ("ss", "", "keep"),
+    ("ous", "", "on"),
+    ("us", "", "whole"),
+    ("s", "", "on"),
+    ("s", "", "stop"),
+    ("plicat", "ply", "stop"),
+    ("at", "", "on"),
+    ("ment", "", "on"),
+    ("ent", "", "on"),
+    ("ant", "", "on"),
+    ("ript", "rib", "stop"),
+    ("orpt", "orb", "stop"),
+    ("duct", "duc", "stop"),
+    ("sumpt", "sum", "stop"),
+    ("cept", "ceiv", "stop"),
+    ("olut", "olv", "stop"),
+    ("sist", "", "keep"),
+    ("ist", "", "on"),
+    ("tt", "t", "stop"),
+    ("iqu", "", "stop"),
+    ("ogu", "og", "stop"),
+    ("siv", "j", "on"),
+    ("eiv", "", "keep"),
+    ("iv", "", "on"),
+    ("bly", "bl", "on"),
+    ("ily", "y", "on"),
+    ("ply", "", "keep"),
+    ("ly", "", "on"),
+    ("ogy", "og", "stop"),
+    ("phy", "ph", "stop"),
+    ("omy", "om", "stop"),
+    ("opy", "op", "stop"),
+    ("ity", "", "on"),
+    ("ety", "", "on"),
+    ("lty", "l", "stop"),
+    ("istry", "", "stop"),
+    ("ary", "", "on"),
+    ("ory", "", "on"),
+    ("ify", "", "stop"),
+    ("ncy", "nt", "on"),
+    ("acy", "", "on"),
+    ("iz", "", "on"),
+    ("yz", "ys", "stop"),
+]
 # Fixed values of the Schinke stemmer: words whose -que stays, noun endings, verb endings and what stands for them.
 SCHINKE_QUE = set(
     "atque quoque neque itaque absque apsque abusque adaeque adusque denique deque susque oblique peraeque plenisque quandoque quisque quaeque cuiusque cuique quemque quamque quaque quique quorumque quarumque quibusque "
@@ -30,14 +145,20 @@ SCHINKE_QUE = set(
     "intorque praetorque".split()
 )
 SCHINKE_NOUN = "ibus ius ae am as em es ia is nt os ud um us a e i o u".split()
-SCHINKE_VERB = [tuple(p.split(":")) for p in "iuntur:i erunt:i untur:i iunt:i unt:i beris:bi bor:bi bo:bi ero:eri mini: ntur: stis: mur: mus: ris: sti: tis: tur: ns: nt: ri: m: r: s: t:".split()]
+SCHINKE_VERB = [
+    ("iuntur", "i"), ("erunt", "i"), ("untur", "i"), ("iunt", "i"), ("unt", "i"), ("beris", "bi"), ("bor", "bi"), ("bo", "bi"), ("ero", "eri"), ("mini", ""), ("ntur", ""), ("stis", ""), ("mur", ""),
+    ("mus", ""), ("ris", ""), ("sti", ""), ("tis", ""), ("tur", ""), ("ns", ""), ("nt", ""), ("ri", ""), ("m", ""), ("r", ""), ("s", ""), ("t", ""),
+]
 # Fixed values of the EDA stemmer: endings in the one order in which they are tried.
 EDA = "s e x ant al au tion sion er iv if abl ibl ment tele tel tos ik ton tos ent en tik toid o i s dien u e era ank enk teur trice i".split()
 # Fixed values of German stemming: letter groups that count as one letter.
 CAUMANNS_GROUPS = [("sch", "$"), ("ch", "§"), ("ei", "%"), ("ie", "&"), ("ig", "#"), ("st", "!")]
 # Fixed values of Spanish nouns: words that are their own plural, irregular plurals, and rules of which the first that fits applies.
 SPANISH_SAME = set("lunes martes miércoles jueves viernes paraguas tijeras gafas vacaciones víveres cumpleaños virus atlas sms hummus".split())
-SPANISH_IRREGULAR = dict(p.split(":") for p in "bases:base caracteres:carácter champús:champú currículos:curriculum especímenes:espécimen jerséis:jersey memorandos:memorándum menús:menú noes:no países:país referendos:referéndum regímenes:régimen sándwiches:sándwich sis:si taxis:taxi ultimatos:ultimátum".split())
+SPANISH_IRREGULAR = {
+    "bases": "base", "caracteres": "carácter", "champús": "champú", "currículos": "curriculum", "especímenes": "espécimen", "jerséis": "jersey", "memorandos": "memorándum", "menús": "menú",
+    "noes": "no", "países": "país", "referendos": "referéndum", "regímenes": "régimen", "sándwiches": "sándwich", "sis": "si", "taxis": "taxi", "ultimatos": "ultimátum",
+}
 SPANISH_RULES = [
     ("^([bcdfghjklmnñpqrstvwxyz]*)([aeiou])([ns])es$", r"\1\2\3"), ("([aeiou])([ns])es$", None), ("shes$", "sh"), ("oides$", "oide"), ("(sis|tis|xis)$", r"\1"), ("(é)s$", r"\1"), ("(ces)$", "z"), ("([^e])s$", r"\1"),
     ("([bcdfghjklmnñprstvwxyz]{2,}e)s$", r"\1"), ("([ghñptv]e)s$", r"\1"), ("jes$", "je"), ("ques$", "que"), ("es$", ""),
@@ -96,9 +217,8 @@ def porter(word: str) -> str:
 
 def _lancaster_rules() -> dict[str, list[tuple[str, str, str]]]:
     out: dict[str, list] = {}
-    for rule in LANCASTER.split():
-        end, rest = rule.split(">", 1)
-        out.setdefault(end[-1], []).append((end, rest[:-1], rest[-1]))
+    for rule in LANCASTER:
+        out.setdefault(rule[0][-1], []).append(rule)
     return out
 
 
@@ -111,15 +231,15 @@ def lancaster(word: str) -> str:
     while more:
         more = False
         for end, instead, then in LANCASTER_RULES.get(stem[-1:], ()):
-            if (then == "=" and not whole) or not stem.endswith(end):
+            if (then == "whole" and not whole) or not stem.endswith(end):
                 continue
-            if then == "!":
+            if then == "keep":
                 return stem
             left = stem[: len(stem) - len(end)] + instead
             if not (len(left) > 1 if left[:1] and left[0] in "aeiouy" else len(left) > 2 and re.search(VOWELS, left)):
                 continue
             stem = left
-            if then == ">":
+            if then == "on":
                 whole, more = False, True
                 break
     return stem
