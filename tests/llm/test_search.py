@@ -85,6 +85,37 @@ def test_url_filters(spark):
     assert url_filters.url_filters(df.select("page_id", "url").limit(0), url_filters.RULES).count() == 0
 
 
+def test_nested_url_rules_as_table(spark):
+    """Nested hosts and nested paths of one host, from a table of rules: as one by one."""
+    hosts = ["net", "a.net", "b.a.net", "c-a.net", "a-b.net", "x.b.a.net", "org", "a..org", "ä.org"]
+    paths = ["", "/", "/p", "/p/", "/p/q/", "/p/q/é", "/pä", "/p-", "/q/r/s"]
+    texts = [h + p for k, h in enumerate(hosts) for n, p in enumerate(paths) if (3 * k + n) % 4]
+    rules = [("block" if k % 3 else "allow", x) for k, x in enumerate(texts)]
+    urls = [f"http://{h}{p}{s}" for h in [*hosts, "y.a.net", "b.c-a.net", "z.x.b.a.net", "com"] for p in paths for s in ("", "z", "/", "\U0010ffff")]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    table = spark.createDataFrame([*((v, x, 1) for v, x in rules), (None, "com/", 1), ("block", None, 1)], "verdict string, text string, extra int")
+
+    def fits(host, path, text):
+        h, slash, p = text.partition("/")
+        return (host == h or host.endswith("." + h)) and path.startswith(slash + p)
+
+    for r in url_filters.url_filters(df, table).collect():
+        host, path, *_ = judge(r.url, [])
+        fit = sorted((-len(x), -len(x.partition("/")[0]), x, v) for v, x in rules if fits(host, path, x))
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, fit[0][2] if fit else None, fit[0][3] if fit else "allow"), r.url
+
+
+def test_many_url_rules(spark):
+    """More rules than one task should hold of a host: 120,000 paths of one host, and hosts below it."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(120_000)
+    rules = ids.select(F.lit("block").alias("verdict"), F.concat(F.lit("hot.net/"), "id", F.lit("/")).alias("text"))
+    pages = ids.select(F.col("id").alias("page_id"), F.concat(F.lit("http://w"), F.col("id") % 7, F.lit(".hot.net/"), F.col("id") * 2, F.lit("/x")).alias("url"))
+    got = url_filters.url_filters(pages, rules).groupBy("verdict").agg(F.count("*"), F.sum(F.when(F.col("rule") == F.concat(F.lit("hot.net/"), F.col("page_id") * 2, F.lit("/")), 1)))
+    assert sorted(map(tuple, got.collect())) == [("allow", 60_000, None), ("block", 60_000, 60_000)]
+
+
 def test_neighbours_beside_odd_lengths(spark):
     """A few vectors of another length, whichever hashes come first, do not displace the table's own."""
     from pyspark.sql import functions as F
