@@ -147,48 +147,66 @@ def _derived(end: str, stem: str, r1: str, r2: str) -> str | None:
     return None
 
 
+def _standard_suffix(word: str, r1: str, r2: str, rv: str) -> tuple[str, str, bool]:
+    """Step 1: the stem, the verb region, and whether an ending is gone for good; after adverbs in -ment verb endings are looked for too."""
+    end = next((e for e in STEP_1 if word.endswith(e)), None)
+    if not end:
+        return word, rv, False
+    left, before = word[: -len(end)], rv.rpartition(end)[0]
+    if end in rv:
+        match end.removesuffix("s"):
+            case "ement":
+                return _adverb(left, r1, r2, rv), rv, True
+            case "amment":
+                return left + "ant", rv[: -len(end)] + "ant", False
+            case "emment":
+                return left + "ent", rv, False
+            case "ment" if before[-1:] in VOWELS and not rv.startswith(end):
+                return left, rv[: -len(end)], False
+    stem = _derived(end, word, r1, r2)
+    return (word, rv, False) if stem is None else (stem, rv, True)
+
+
+def _verb_suffix(word: str, r2: str, rv: str) -> str | None:
+    """Step 2: the word without an ending of verbs in -ir, or else of other verbs; None if it has neither."""
+    end = next((e for e in STEP_2A if word.endswith(e)), None)
+    if end and end in rv and len(rv) > len(end) and rv.rpartition(end)[0][-1:] not in VOWELS:
+        return word[: -len(end)]
+    end = next((e for e in STEP_2B if rv.endswith(e)), None)
+    if not end or (end == "ions" and end not in r2):
+        return None
+    return word[: -len(end) - (end in DROPS_E and rv.endswith("e" + end))]
+
+
+def _residual_suffix(word: str, r2: str, rv: str) -> str:
+    """Step 4: a final -s, then what may be left of an ending."""
+    if word.endswith("s") and word[-2:-1] and word[-2] not in "aiouès":
+        word = word[:-1]
+    match next((e for e in STEP_4 if word.endswith(e) and e in rv), None):
+        case "ion" if "ion" in r2 and rv[-4:-3] in ("s", "t"):
+            return word[:-3]
+        case ("ier" | "Ier" | "ière" | "Ière") as end:
+            return word[: -len(end)] + "i"
+        case "e":
+            return word[:-1]
+        case "ë" if word[-3:-1] == "gu":
+            return word[:-1]
+    return word
+
+
 def french_porter(word: str) -> str:
     """The French Porter (Snowball) stemmer."""
-    stem = _marked(word.lower())
-    r1 = _region(stem)
-    r2, rv = _region(r1), _verb_region(stem)
-    derived = inflected = adverb = False
-    end = next((e for e in STEP_1 if stem.endswith(e)), None)
-    if end in ("ement", "ements") and end in rv:
-        stem, derived = _adverb(stem[: -len(end)], r1, r2, rv), True
-    elif end in ("amment", "emment") and end in rv:
-        stem, adverb = stem[: -len(end)] + ("ant" if end == "amment" else "ent"), True
-        rv = rv[: -len(end)] + "ant" if end == "amment" else rv
-    elif end in ("ment", "ments") and end in rv and rv.rfind(end) > 0 and not rv.startswith(end) and rv[rv.rfind(end) - 1] in VOWELS:
-        stem, rv, adverb = stem[: -len(end)], rv[: -len(end)], True
-    elif end and (got := _derived(end, stem, r1, r2)) is not None:
-        stem, derived = got, True
-    if not derived or adverb:
-        end = next((e for e in STEP_2A if stem.endswith(e)), None)
-        at = rv.rfind(end) if end else -1
-        if end and at >= 0 and len(rv) > len(end) and (at == 0 or rv[at - 1] not in VOWELS):
-            stem, inflected = stem[: -len(end)], True
-        else:
-            end = next((e for e in STEP_2B if rv.endswith(e)), None)
-            if end in DROPS_E:
-                stem, inflected = stem[: -len(end)], True
-                stem = stem[:-1] if rv[: -len(end)].endswith("e") else stem
-            elif end and (end != "ions" or "ions" in r2):
-                stem, inflected = stem[: -len(end)], True
-    if derived or inflected:
-        stem = stem[:-1] + {"Y": "i", "ç": "c"}.get(stem[-1:], stem[-1:])
+    word = _marked(word.lower())
+    r1 = _region(word)
+    r2 = _region(r1)
+    stem, rv, settled = _standard_suffix(word, r1, r2, _verb_region(word))
+    inflected = None if settled else _verb_suffix(stem, r2, rv)
+    if settled or inflected is not None:
+        stem = stem if settled else inflected
+        stem = re.sub("Y$", "i", re.sub("ç$", "c", stem))
     else:
-        if len(stem) > 1 and stem.endswith("s") and stem[-2] not in "aiouès":
-            stem = stem[:-1]
-        end = next((e for e in STEP_4 if stem.endswith(e) and e in rv), None)
-        if end == "ion" and "ion" in r2 and len(rv) > 3 and rv[-4] in "st":
-            stem = stem[:-3]
-        elif end in ("ier", "ière", "Ier", "Ière"):
-            stem = stem[: -len(end)] + "i"
-        elif end == "e" or (end == "ë" and stem[-3:-1] == "gu"):
-            stem = stem[:-1]
-    if re.search("(?:enn|onn|ett|ell|eill)$", stem):
-        stem = stem[:-1]
+        stem = _residual_suffix(stem, r2, rv)
+    stem = re.sub("(enn|onn|ett|ell|eill)$", lambda m: m[0][:-1], stem)
     return re.sub(f"[éè]({NOT_VOWEL}+)$", r"e\1", stem).lower()
 
 
