@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ._shared import Scratch, partitions
 
-SAMPLES, GROUP = 32, 4  # samples in a signature; samples drawn in one generated method, which the JVM must find small enough
+SAMPLES, GROUP = 48, 4  # samples in a signature; samples drawn in one generated method, which the JVM must find small enough
 WORDS = r"[\x20\x09-\x0D]+"
 
 
