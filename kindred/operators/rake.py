@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PUNCTUATION = r"^[^\w\s]+$"
+PUNCTUATION = r"^[^A-Za-z0-9_\t\n\f\r ]+\z"
+PLACES = 6  # to which scores are compared
 
 
 def rake_words(docs: DataFrame, stopwords: DataFrame, doc: str = "doc", sentences: str = "sentences") -> DataFrame:
@@ -37,12 +38,13 @@ def rake_word_scores(words: DataFrame) -> DataFrame:
 
 def rake(docs: DataFrame, stopwords: DataFrame, doc: str = "doc", sentences: str = "sentences") -> DataFrame:
     """(doc, rank, keyword, score): a document's best third of distinct candidates by the sum of their words' degree
-    over frequency; ties by the words themselves."""
+    over frequency; ties by the words themselves. Sums that differ only in how fractions were rounded or added up are
+    ties: scores are compared to PLACES places."""
     words = rake_words(docs, stopwords, doc, sentences)
     scores = rake_word_scores(words).select("doc", "word", (F.col("degree") / F.col("frequency")).alias("s"))
     own = rake_candidates(words).select("doc", "words").distinct()
     each = own.select("doc", "words", F.explode("words").alias("word")).join(scores, ["doc", "word"])
     scored = each.groupBy("doc", "words").agg(F.sum("s").alias("score"))
     most = own.groupBy("doc").agg(F.floor(F.count("*") / 3).alias("most"))
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), F.array_join("words", " ")))
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc(F.round("score", PLACES)), F.array_join("words", " ")))
     return scored.withColumn("rank", rank).join(most, "doc").where("rank <= most").select("doc", "rank", F.col("words").alias("keyword"), "score")

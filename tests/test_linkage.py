@@ -93,3 +93,19 @@ def test_rake(spark):
     scores = {(r.doc, r.word): (r.frequency, r.degree) for r in rake.rake_word_scores(rake.rake_words(docs, stops)).collect()}
     assert scores == {(1, "deep"): (2, 2), (1, "learning"): (1, 1), (1, "nets"): (1, 1), (1, "fast"): (1, 0), (2, "alone"): (1, 0)}
     assert [(r.doc, r.rank, r.keyword) for r in rake.rake(docs, stops).collect()] == [(1, 1, ["deep", "learning"])]
+
+
+def test_rake_ties_to_words(spark):
+    """1/10 + 1/5 and 1/4 + 1/20 are equal scores, though not as doubles."""
+    last = [["y"] * 9 + ["z"] * 4 + ["a"] * 3 + ["b"] * 19]
+    docs = spark.createDataFrame([(1, [["y", "z", "of", "a", "b", "of", "c", "of"], *last])], "doc long, sentences array<array<string>>")
+    stops = spark.createDataFrame([("of",)], "word string")
+    assert [(r.rank, r.keyword) for r in rake.rake(docs, stops).collect()] == [(1, ["a", "b"])]
+
+
+def test_rake_punctuation(spark):
+    """As RE2 reads it: a word that ends in a carriage return is none, a vertical tab is."""
+    words = ["...", "...\r", "\x0b", "\u2026", "\u00e9", "_", "x.", ""]
+    docs = spark.createDataFrame([(1, [words])], "doc long, sentences array<array<string>>")
+    got = rake.rake_words(docs, spark.createDataFrame([], "word string")).orderBy("pos").collect()
+    assert [r.word for r in got if r.stop] == ["...", "\x0b", "\u2026", "\u00e9"]
