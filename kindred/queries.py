@@ -52,6 +52,11 @@ SETS = f"{PAIRS}, sets AS (SELECT a, b, list_distinct(string_split(a, '')) AS x,
 GRAMS = f"{PAIRS}, sets AS (SELECT a, b, list_distinct(list_transform(range(1, len(a)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, len(b)), lambda i: substr(b, i, 2))) AS y FROM pairs), sizes AS (SELECT a, b, len(list_intersect(x, y)) AS i, len(x) AS nx, len(y) AS ny FROM sets)"
 
 
+def lowered(c: str) -> Column:
+    """Lower case as DuckDB has it, each character by itself: no combining dot, no final sigma."""
+    return F.lower(F.replace(F.replace(F.col(c), F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
 def rounded(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
@@ -691,7 +696,7 @@ def rake_word_scores(spark, sf_dir):
 
 
 def rake_input(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), F.transform(F.split(F.lower("text"), "\n"), lambda x: F.split(x, " +")).alias("sentences"))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), F.transform(F.split(lowered("text"), "\n"), lambda x: F.split(x, " +")).alias("sentences"))
     return turns, spark.createDataFrame([(w,) for w in STOPS], "word string")
 
 

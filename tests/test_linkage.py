@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kindred import queries
 from kindred.operators import linkage, rake
 from kindred.operators.linkage import Alike
 
@@ -109,3 +110,8 @@ def test_rake_punctuation(spark):
     docs = spark.createDataFrame([(1, [words])], "doc long, sentences array<array<string>>")
     got = rake.rake_words(docs, spark.createDataFrame([], "word string")).orderBy("pos").collect()
     assert [r.word for r in got if r.stop] == ["...", "\x0b", "\u2026", "\u00e9"]
+
+
+def test_rake_lower_case(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "\u0130zmir of aa\u03a3 of")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.word for r in queries.rake_word_scores(spark, str(tmp_path)).collect()} == {"izmir", "aa\u03c3"}
