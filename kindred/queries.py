@@ -717,9 +717,8 @@ def rake_keywords(spark, sf_dir):
 @query()
 def punkt_sentences(spark, sf_dir):
     """Sentences of documents under a model trained on all of them."""
-    docs = table(spark, sf_dir, "documents")
-    model = punkt.train(docs, "text", "doc_id")
-    return docs.select("doc_id", F.size(punkt.sentences_column(model, "text")).cast("long").alias("sentences"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return punkt.split(docs, punkt.learn(docs)).select("doc_id", F.size("sentences").cast("long").alias("sentences"))
 
 
 @query()
