@@ -14,7 +14,8 @@ from kindred import sql_text as T
 from kindred.functions import codes, english, french, hashes, keyers, metrics, phonetics, segmenters, sequences, stemmers, text, tokens, vectors
 from kindred.functions.double_metaphone import double_metaphone_column
 from kindred.functions.sonnex import sonnex_column
-from kindred.operators import frequencies, linkage, punkt, rake
+from kindred.operators import frequencies, linkage, punkt, rake, word_pairs
+from kindred.plans.scratch import Scratch
 from kindred.sources import parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,12 +296,10 @@ def sequence_kernels(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("a", "b", *one.values())
 
 
-def word_pairs(spark, sf_dir) -> DataFrame:
-    """(a, b) of distinct words of all documents, in four languages with marks, that share their first and last three
-    characters; and each with the empty word."""
-    w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"[\x00-\x60{-~\s]+")).alias("w")).where("w <> '' AND length(w) > 4").distinct()
-    a, b = (w.select(F.col("w").alias(c), F.substring("w", 1, 3).alias("head"), F.right("w", F.lit(3)).alias("tail")) for c in "ab")
-    return a.join(b, ["head", "tail"]).where("a < b").select("a", "b").union(w.select(F.lit("").alias("a"), F.col("w").alias("b")))
+def words(spark, sf_dir) -> DataFrame:
+    """Distinct words of all documents, in four languages with marks, with their first and last three characters."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split(lowered("text"), r"[\x00-\x60{-~\s]+")).alias("w")).where("w <> '' AND length(w) > 4").distinct()
+    return w.select("w", F.substring("w", 1, 3).alias("head"), F.right("w", F.lit(3)).alias("tail"))
 
 
 WORD_PAIRS = "WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[\\x00-\\x60{-~\\s]+')) AS w FROM documents) WHERE len(w) > 4), pairs AS (SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON left(x.w, 3) = left(y.w, 3) AND right(x.w, 3) = right(y.w, 3) AND x.w < y.w UNION ALL SELECT '', w FROM w)"
@@ -310,10 +309,11 @@ APART = "len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: substr(a
 
 @query(f"{WORD_PAIRS}, d AS (SELECT a, b, {APART} AS lipns, greatest(len(a), len(b)) AS n, {RUNS} AS run FROM pairs) SELECT a, b, CAST(lipns AS INTEGER) AS lipns, CAST(CASE WHEN a = '' THEN 0 WHEN n < 3 OR lipns / n <= 0.25 OR (lipns - 1) / (n - 1) <= 0.25 OR (lipns - 2) / (n - 2) <= 0.25 THEN 1 ELSE 0 END AS INTEGER) AS mlipns, round(run / n, 6) AS lcs FROM d")
 def word_distances(spark, sf_dir):
-    """M15, M25 on words with marks, and empty ones."""
-    k = sequences
-    p = word_pairs(spark, sf_dir)
-    return p.select("a", "b", k.lipns_column("a", "b").alias("lipns"), k.mlipns_column("a", "b").alias("mlipns"), rounded(k.lcs_column("a", "b")).alias("lcs"))
+    """M15, M25 on words with marks that share their first and last three characters, and on each with the empty word."""
+    k, w = sequences, Scratch(spark).freeze(words(spark, sf_dir), "words")
+    empty = w.select(F.lit("").alias("a"), F.col("w").alias("b"))
+    empty = empty.select("a", "b", k.lipns_column("a", "b").alias("lipns"), k.mlipns_column("a", "b").alias("mlipns"), rounded(k.lcs_column("a", "b")).alias("lcs"))
+    return word_pairs.block_distances(w, "w", ["head", "tail"]).union(empty)
 
 
 @query(f"{PAIRS}, d AS (SELECT a, b, {T.ALIGNMENT} AS d FROM pairs) SELECT a, b, CAST(d AS INTEGER) AS distance, CAST(CASE WHEN d > 3 THEN -1 ELSE d END AS INTEGER) AS limited FROM d")
