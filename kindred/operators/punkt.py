@@ -35,6 +35,7 @@ REALIGN = re.compile(r"[\"')\]}]+?(?:\s+|(?=--)|$)")
 NUMBER = re.compile(r"^-?[.,]?\d[\d,.\-]*\.?$")
 INITIAL, ELLIPSIS = re.compile(r"[^\W\d]\.$"), re.compile(r"\.\.+$")
 MAX_MODEL = 2_000_000  # entries of a model at most
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # what Python takes for white space
 HELD, KNOWN, PORTION = 200_000, 1 << 16, 1 << 20  # counts, tokens and characters of texts that a kernel holds at once
 
 
@@ -161,26 +162,41 @@ def emptied(counts: dict, rows: Callable[[dict], pa.RecordBatch], limit: int = 0
         counts.clear()
 
 
+def type_rows(counts: dict[str, int]) -> pa.RecordBatch:
+    """(type, k, points) of counted lines or parts of lines."""
+    types: dict[str, list[int]] = {}
+    for line, k in counts.items():
+        for text in line_tokens(line):
+            row = types.setdefault(text.lower() if text.isalpha() else token(text).type, [0, 0])
+            row[0] += k
+            row[1] += k * text.endswith(".")
+    k, points = zip(*types.values(), strict=True) if types else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(types, pa.string()), pa.array(k, pa.int64()), pa.array(points, pa.int64())], ["type", "k", "points"])
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(type, k, points) of texts: how often a type is there, and how often with a point."""
     counts: Counter[str] = Counter()
-
-    def rows(counts: Counter) -> pa.RecordBatch:
-        types: dict[str, list[int]] = {}
-        for line, k in counts.items():
-            for text in line_tokens(line):
-                row = types.setdefault(text.lower() if text.isalpha() else token(text).type, [0, 0])
-                row[0] += k
-                row[1] += k * text.endswith(".")
-        k, points = zip(*types.values(), strict=True) if types else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(types, pa.string()), pa.array(k, pa.int64()), pa.array(points, pa.int64())], ["type", "k", "points"])
-
     for batch in batches:
         for text in texts_of(batch):
             for line in text.split("\n"):
                 counts.update([line] if SPREAD.search(line) else line.split())
-            yield from emptied(counts, rows, HELD)
-    yield from emptied(counts, rows)
+            yield from emptied(counts, type_rows, HELD)
+    yield from emptied(counts, type_rows)
+
+
+def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(type, k, points) of (chunk, k): different parts of lines, counted before."""
+    for batch in batches:
+        yield type_rows(dict(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+
+
+def type_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """(type, k, points); Spark counts the parts of lines, but for texts in which a token may spread over them."""
+    spread, schema = F.col(text_col).rlike(rf"\.{WHITE}\.{WHITE}\."), "type string, k long, points long"
+    chunks = texts.where(~spread).select(F.explode(F.split(text_col, f"{WHITE}+")).alias("chunk")).where("chunk <> ''").groupBy("chunk").agg(F.count("*").alias("k"))
+    rows = chunks.mapInArrow(typed, schema).union(texts.where(spread).mapInArrow(counted, schema))
+    return rows.groupBy("type").agg(F.sum("k").alias("k"), F.sum("points").alias("points"))
 
 
 UPPER_FLAGS, LOWER_FLAGS = {"initial": BEG_UC, "internal": MID_UC, "unknown": UNK_UC}, {"initial": BEG_LC, "internal": MID_LC, "unknown": UNK_LC}
@@ -252,8 +268,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Learned:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.where(F.col(text_col).isNotNull()).select(text_col)
-    types = texts.mapInArrow(counted, "type string, k long, points long").groupBy("type").agg(F.sum("k").alias("k"), F.sum("points").alias("points"))
-    types = scratch.freeze(types, "types")
+    types = scratch.freeze(type_counts(texts, text_col), "types")
     sizes = types.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum("points"), F.lit(0)).alias("points")).first()
     n = F.lit(float(sizes["n"]))
     plain = types.select(F.col("type").alias("bare"), F.col("k").alias("without"))

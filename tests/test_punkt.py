@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from kindred.operators import punkt as module
-from kindred.operators.punkt import CONTEXT, WORD, Model, Punkt, beside, contexts_of, counted, learn, line_tokens, sentences_column, split, train
+from kindred.operators.punkt import CONTEXT, WORD, Model, Punkt, beside, contexts_of, counted, learn, line_tokens, sentences_column, split, train, type_counts
 
 TEXT = "What a day... Hello John. What is that you're doing? Mr. Lozano was not around today. Say hello to your mom for me!"
 
@@ -63,3 +63,14 @@ def test_counts_are_sent_on_in_portions(monkeypatch):
         sent = list(kernel(iter([batch])))
         assert len(sent) > 5 and max(b.num_rows for b in sent) < 150
     assert sum(sum(b.column("k").to_pylist()) for b in counted(iter([batch]))) == 2000
+
+
+def test_types_are_counted_as_by_the_kernel(spark):
+    spaces = "".join(f"Mr.{chr(k)}x{chr(k)}" for k in range(1, 0x3001) if chr(k).isspace()) + "z\u180ez\u200bz."
+    texts = [TEXT, *ODD, spaces, "a.\n.\n. b"]
+    want = {}
+    for text in texts:
+        for t in module.tokens(text):
+            k, points = want.get(t.type, (0, 0))
+            want[t.type] = k + 1, points + t.point
+    assert {r.type: (r.k, r.points) for r in type_counts(spark.createDataFrame([(x,) for x in texts], "text string"), "text").collect()} == want
